@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sonoframe.llm import records
+from sonoframe.llm import media, records
 from sonoframe.llm.common import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return records.token_digests(docs, scratch(spark, "records"), tokenizer=public_tokenizers.path("byte_bpe_50k.json"), end_id=END_ID)
+
+
+@query("op8_media_payload")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text stored in a baseline JPEG, and what a decoder reads back from the file."""
+    return media.media_features(media.store_payloads(table(spark, sf_dir, "documents").select("doc_id", "text")))

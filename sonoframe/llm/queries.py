@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sonoframe.llm import media, records
+from sonoframe.llm import media, records, simhash
 from sonoframe.llm.common import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text stored in a baseline JPEG, and what a decoder reads back from the file."""
     return media.media_features(media.store_payloads(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query("op3_simhash_components")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SimHash fingerprint and the least document of its component."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sonoframe.llm import media, records, simhash
-from sonoframe.llm.common import scratch
+from sonoframe.llm import media, records, simhash, toxicity
+from sonoframe.llm.common import fold, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 #: Fixed by the query's contract.
 END_ID = 2
+TOXIC_FOLDS, TOXIC_HELD_OUT = 5, 0
 
 
 def query(name: str, oracle: str | None = None):
@@ -49,3 +51,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's SimHash fingerprint and the least document of its component."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learned from labelled documents outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(*toxicity.labelled_sample(docs, table(spark, sf_dir, "labels"), TOXIC_FOLDS, TOXIC_HELD_OUT))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (fold("doc_id", TOXIC_FOLDS) == TOXIC_HELD_OUT).alias("held_out"), "score", "predicted", "toxic_windows", "windows")

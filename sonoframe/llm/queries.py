@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonoframe.llm import media, records, simhash, toxicity
+from sonoframe.llm import langid, media, records, simhash, toxicity
 from sonoframe.llm.common import fold, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,6 +16,7 @@ ORACLES: dict[str, str] = {}
 #: Fixed by the query's contract.
 END_ID = 2
 TOXIC_FOLDS, TOXIC_HELD_OUT = 5, 0
+LANG_FOLDS, LANG_HELD_OUT = 3, 1
 
 
 def query(name: str, oracle: str | None = None):
@@ -60,3 +61,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(*toxicity.labelled_sample(docs, table(spark, sf_dir, "labels"), TOXIC_FOLDS, TOXIC_HELD_OUT))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", (fold("doc_id", TOXIC_FOLDS) == TOXIC_HELD_OUT).alias("held_out"), "score", "predicted", "toxic_windows", "windows")
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from documents outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(langid.labelled_sample(docs, LANG_FOLDS, LANG_HELD_OUT))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (fold("doc_id", LANG_FOLDS) == LANG_HELD_OUT).alias("held_out"), "lang_pred", "score", "accepted")

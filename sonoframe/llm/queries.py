@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonoframe.llm import langid, media, records, simhash, toxicity
+from sonoframe.llm import langid, media, mixing, packing, records, simhash, toxicity
 from sonoframe.llm.common import fold, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,19 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.train(langid.labelled_sample(docs, LANG_FOLDS, LANG_HELD_OUT))
     found = langid.predict(docs.select("doc_id", "text"), model)
     return found.select("doc_id", (fold("doc_id", LANG_FOLDS) == LANG_HELD_OUT).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query("op10_source_mix", mixing.ORACLE)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document for each pass of the mix that takes it, with its source's weight and its place."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", packing.word_count().alias("tokens"))
+    mixed = mixing.mix(docs, tokens=F.col("tokens"))
+    return mixed.select(
+        "doc_id", F.col("mix_source").alias("source"), F.col("mix_block").alias("block"), F.col("mix_epoch").alias("epoch"), "tokens", F.round("mix_weight", 9).alias("weight"), F.round("mix_progress", 9).alias("progress")
+    )
+
+
+@query("op6_best_fit_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces, packed best-fit into sequences of the permitted lengths."""
+    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonoframe.llm import langid, media, mixing, packing, records, simhash, toxicity
+from sonoframe.llm import embedding_dedup, langid, media, mixing, packing, records, simhash, toxicity
 from sonoframe.llm.common import fold, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces, packed best-fit into sequences of the permitted lengths."""
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op4_embedding_duplicates")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links at a cosine of 0.9 and the least vector of its component."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonoframe.llm import embedding_dedup, langid, media, mixing, packing, records, simhash, toxicity
+from sonoframe.llm import embedding_dedup, html_extract, langid, media, mixing, packing, records, simhash, toxicity
 from sonoframe.llm.common import fold, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector's links at a cosine of 0.9 and the least vector of its component."""
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query("op2_main_text")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text, by a recurrent labeller of its blocks."""
+    return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))

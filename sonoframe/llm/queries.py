@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonoframe.llm import embedding_dedup, html_extract, langid, media, mixing, packing, records, simhash, toxicity
+from sonoframe.llm import embedding_dedup, html_extract, langid, media, mixing, packing, records, simhash, suffix_dedup, toxicity
 from sonoframe.llm.common import fold, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's main text, by a recurrent labeller of its blocks."""
     return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query("op5_suffix_repeats")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of its repeated 100-byte strings."""
+    return suffix_dedup.digests(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))

@@ -56,3 +56,21 @@ def fold(doc_id: Column | str, of: int) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: The column that numbered() adds.
+ROW = "_row"
+
+
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bool]:
+    """``docs`` with a number for each row that grows with the id; and whether that is the id itself, as it is if no id is null or repeated.
+
+    Otherwise the rows are written in order of id and a hash of the text, null ids last, and numbered as written.
+    """
+    key = F.col(id_col).cast("long")
+    odd = docs.select(key.alias("k")).groupBy("k").agg(F.count("*").alias("n")).where("n > 1 OR k IS NULL").limit(1).count()
+    if not odd:
+        return docs.withColumn(ROW, key), True
+    order = [key.asc_nulls_last(), F.xxhash64(text_col)]
+    dealt = docs.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return written(dealt.withColumn(ROW, F.monotonically_increasing_id()), "numbered"), False

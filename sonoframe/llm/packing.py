@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 from sonoframe.llm.common import WORD, written
 
 CAPACITIES = (512, 1024, 2048, 4096)
-#: Fixed cost of a bin, in tokens, beside its length: what a sequence costs a trainer whatever its length.
-BIN_COST = 16
+#: A bin's cost in tokens: its length, what a sequence costs whatever its length, and attention, which grows with the square.
+BIN_COST, ATTENTION = 64, 16_384
 SHARD_PIECES = 2_500
 
 PACKED = T.StructType(
@@ -60,7 +60,7 @@ def opening(length: int, waiting: Counter, sizes: list[int], capacities: tuple[i
             filled += sizes[i]
         # at the end the bin shrinks to its contents
         final = next(c for c in capacities if c >= filled)
-        cost = (final + bin_cost) / filled
+        cost = (final + bin_cost + final * final / ATTENTION) / filled
         if best is None or cost < best[0] - 1e-12:
             best = (cost, capacity)
     return best[1]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sonoframe.llm.common import written
+from sonoframe.llm.common import ROW, numbered, written
 from sonoframe.llm.components import components
 
 RADIUS = 4
@@ -191,3 +191,11 @@ def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, id_col: str = "doc
     least = label.groupBy("component").agg(F.min("rep").alias("component_id"))
     known = written(label.join(least, "component").select("fp", "component_id"), "known")
     return each.join(known.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, *, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with only the first row, by id, of each component of near duplicates."""
+    rows, _ = numbered(docs, id_col, text_col)
+    found = near_duplicates(rows, radius=radius, id_col=ROW, text_col=text_col)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(ROW))
+    return rows.join(kept.hint("merge"), ROW, "left_semi").select(*docs.columns)

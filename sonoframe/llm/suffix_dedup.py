@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sonoframe.llm.common import partitions, written
+from sonoframe.llm.common import ROW, numbered, partitions, written
 
 LENGTH, GRAM = 100, 32
 #: Grams of a string; a sample has at most BEFORE bytes of a string before it.
@@ -88,16 +88,6 @@ def sampled(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return at, h
 
 
-def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
-    """(row, doc_id, text), with a number for each row that grows with the id; and whether that is the id itself, as it is if no id is null or repeated."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    repeated = rows.select("doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").limit(1).count()
-    if not repeated:
-        return rows.withColumn("row", F.col("doc_id")), True
-    dealt = rows.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_last(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
-    return written(dealt.withColumn("row", F.monotonically_increasing_id()), "numbered"), False
-
-
 def packed(rows: DataFrame) -> DataFrame:
     """(row, z): the text's bytes, compressed for the shuffle."""
 
@@ -381,7 +371,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     one (by a hash of the text) counts as the earlier; rows with null ids come last. ``kept`` may end a
     multi-byte character early. An empty table gives no rows.
     """
-    rows, by_id = numbered(docs, id_col, text_col)
+    rows, by_id = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    rows = rows.withColumnRenamed(ROW, "row")
     texts = packed(rows)
     out = cleaned(texts, repeated_spans(rows, texts))
     if by_id:
@@ -389,5 +380,21 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return out.join(rows.select("row", "doc_id").hint("merge"), "row").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
 
 
+def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """``docs`` with each text cut as remove_repeats() says, and its new length in ``chars_col``; a character that loses a byte goes. A null text becomes empty."""
+    rows, _ = numbered(docs, id_col, text_col)
+    kept = remove_repeats(rows, id_col=ROW, text_col=text_col)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.decode("utf-8", "ignore") for x in batch.column(1).to_pylist()], pa.string())], names=[ROW, "_kept"])
+
+    texts = kept.select(F.col("doc_id").alias(ROW), "kept").mapInArrow(decode, f"{ROW} long, _kept string")
+    changed = rows.drop(text_col).join(texts, ROW).withColumn(text_col, F.col("_kept"))
+    if chars_col in docs.columns:
+        changed = changed.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
+    return changed.select(*docs.columns)
+
+
 def digests(cleaned_rows: DataFrame) -> DataFrame:
     return cleaned_rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -205,6 +205,22 @@ def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCORED)
 
 
+def without_toxic(docs: DataFrame, model: Model | None, *, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose score is 0.5 or more; all columns stay as they are."""
+    packed, column = pickle.dumps(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = worker(packed)
+        for batch in batches:
+            counts = [state.count(t) for t in batch.column(column).to_pylist()]
+            if state.model is not None and counts:
+                hits, n = np.array(counts, dtype=np.int64).T
+                batch = batch.filter(pa.array(features(hits, n) @ np.array(state.model.weights) < 0))
+            yield batch
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 class Worker:
     def __init__(self, packed: bytes):
         self.packed, self.model = packed, pickle.loads(packed)

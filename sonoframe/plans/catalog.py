@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sonoframe.plans import frames, sessions, transcripts  # noqa: F401
 from sonoframe.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

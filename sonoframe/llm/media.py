@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sonoframe.llm import jpeg
+from sonoframe.llm.common import lean
 
 UNIT = 64
 #: Payload bytes that a worker codes at once.
@@ -71,7 +72,7 @@ def store_payloads(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 files = jpeg.encode([padded(t) for t in part], [str(len(t)).encode() for t in part])
                 yield pa.RecordBatch.from_arrays([ids[a:b], pa.array(files, pa.binary())], names=["doc_id", "media"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(store, MEDIA)
+    return lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(store, MEDIA)
 
 
 def media_features(media: DataFrame) -> DataFrame:

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sonoframe.llm.common import lean
+
 MASK_DELTA = 0xA282EAD8
 INDEX = T.StructType(
     [
@@ -40,7 +42,7 @@ INDEX = T.StructType(
     ]
 )
 #: Word pieces whose ids a worker keeps; frequent pieces come early, so later ones go uncached.
-CACHED_PIECES = 400_000
+CACHED_PIECES = 250_000
 
 
 def masked_crc(data: bytes) -> int:
@@ -132,7 +134,7 @@ def write_records(docs: DataFrame, folder: str, *, tokenizer: str, end_id: int |
     """Encode ``docs``, write record files under ``folder`` in ascending id order, and return the index.
 
     Rows are dealt by ranges of the id, so files in order of ``part`` hold ascending ids; repeated ids
-    are ordered by their texts, null ids come first. Null texts are empty; every document ends with
+    are ordered by a hash of their texts, null ids come first. Null texts are empty; every document ends with
     ``end_id`` unless that is None. The index is itself written to ``folder``/index, with one row for
     each document. A task writes to a name of its own and renames at the end, so a task that is run
     again or twice leaves one whole file. An empty table gives an empty index.
@@ -141,8 +143,10 @@ def write_records(docs: DataFrame, folder: str, *, tokenizer: str, end_id: int |
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
     end = b"" if end_id is None else np.array([end_id], dtype=dtype).tobytes()
     width = np.dtype(dtype).itemsize
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("doc_id").asc_nulls_first(), F.col("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    rows = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # ranges are found from a sample of the keys that reaches the driver, so no text is one
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    rows = rows.repartitionByRange(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()

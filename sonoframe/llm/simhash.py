@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sonoframe.llm.common import ROW, numbered, written
+from sonoframe.llm.common import ROW, lean, numbered, written
 from sonoframe.llm.components import components
 
 RADIUS = 4
 SHINGLE = 4
 SEED = 42
 #: Variants that a task holds at once for one group; larger groups are split by more bits.
-GROUP_VARIANTS = 4_000_000
+GROUP_VARIANTS = 3_000_000
 #: Bits that a split adds.
 STEP = 6
 LEAST_BITS = 9
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, FINGERPRINT)
+    return lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, FINGERPRINT)
 
 
 def mask(bits) -> int:
@@ -107,14 +107,20 @@ def join_ball(fp: np.ndarray, key: np.ndarray, left: np.ndarray, bits: list[int]
         if len(who) and len(change):
             variants.append((base[who][:, None] ^ change[None, :]).reshape(-1))
             owners.append(np.repeat(who, len(change)))
-    value, owner = np.concatenate(variants), np.concatenate(owners)
-    ordered = np.sort(value)
+    ordered = np.concatenate(variants)
+    ordered.sort()
     twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    del ordered
     if not len(twice):
         return fp[:0], fp[:0]
-    place = np.searchsorted(twice, value)
-    hit = twice[np.minimum(place, len(twice) - 1)] == value
-    place, owner = place[hit], owner[hit]
+    hits = []
+    for value, owner in zip(variants, owners, strict=True):
+        for at in range(0, len(value), 1 << 18):
+            place = np.searchsorted(twice, value[at : at + (1 << 18)])
+            hit = twice[np.minimum(place, len(twice) - 1)] == value[at : at + (1 << 18)]
+            hits.append((place[hit], owner[at : at + (1 << 18)][hit]))
+    del variants, owners
+    place, owner = (np.concatenate(c) for c in zip(*hits, strict=True))
     order = np.argsort(place, kind="stable")
     place, owner = place[order], owner[order]
     first = np.flatnonzero(np.diff(place, prepend=-1))

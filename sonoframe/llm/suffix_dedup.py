@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sonoframe.llm.common import ROW, numbered, partitions, written
+from sonoframe.llm.common import ROW, lean, numbered, partitions, written
 
 LENGTH, GRAM = 100, 32
 #: Grams of a string; a sample has at most BEFORE bytes of a string before it.
@@ -39,6 +39,8 @@ GRAM_CLASSES = 20_000
 TASK_CLASSES = 40_000
 #: Documents from which frequent grams are guessed, so that they are dealt evenly; the guess decides nothing else.
 GUESS_DOCUMENTS, GUESS_SHARE = 2000, 0.002
+#: Rows whose samples are combined before they are dealt.
+SAMPLED_ROWS = 1000
 
 PACKED = T.StructType([T.StructField("row", T.LongType()), T.StructField("z", T.BinaryType())])
 SAMPLE = T.StructType([T.StructField("gram", T.LongType()), T.StructField("around", T.LongType()), T.StructField("salt", T.LongType()), T.StructField("row", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("low", T.ShortType()), T.StructField("high", T.ShortType())])
@@ -98,13 +100,15 @@ def packed(rows: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze(x or b"") for x in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["row", "z"])
 
-    return rows.select("row", "text").mapInArrow(run, PACKED)
+    return lean(rows).select("row", "text").mapInArrow(run, PACKED)
 
 
 def samples(rows: DataFrame, frequent: tuple[int, ...] = ()) -> DataFrame:
     """The cover: gram, hash of the surroundings, place, and how many bytes of surroundings lie before and after it.
 
-    ``salt`` spreads the samples of ``frequent`` grams by their surroundings.
+    Of samples with equal gram and surroundings in one batch only the first keeps its gram: the others are known to
+    repeat, and come with a null gram. ``salt`` spreads those by row, and samples of ``frequent`` grams by their
+    surroundings.
     """
     often = np.array(sorted(frequent), dtype=np.int64)
 
@@ -112,10 +116,10 @@ def samples(rows: DataFrame, frequent: tuple[int, ...] = ()) -> DataFrame:
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                ids = batch.column(0).slice(begin, 256).to_numpy(zero_copy_only=False)
+            for begin in range(0, batch.num_rows, SAMPLED_ROWS):
+                ids = batch.column(0).slice(begin, SAMPLED_ROWS).to_numpy(zero_copy_only=False)
                 parts = []
-                for row, data in zip(ids.tolist(), batch.column(1).slice(begin, 256).cast(pa.binary()).to_pylist(), strict=True):
+                for row, data in zip(ids.tolist(), batch.column(1).slice(begin, SAMPLED_ROWS).cast(pa.binary()).to_pylist(), strict=True):
                     if data is None or len(data) < LENGTH:
                         continue
                     at, h = sampled(data)
@@ -124,16 +128,22 @@ def samples(rows: DataFrame, frequent: tuple[int, ...] = ()) -> DataFrame:
                     parts.append((h.view(np.int64), around.view(np.int64), np.full(len(at), row), at.astype(np.int32), low.astype(np.int16), high.astype(np.int16)))
                 if parts:
                     gram, around, row, at, low, high = (np.concatenate(c) for c in zip(*parts, strict=True))
-                    salt = np.where(np.isin(gram, often), around, 0)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (gram, around, salt, row, at, low, high)], names=SAMPLE.fieldNames())
+                    # repeats among these rows need no class any more: all but the first are known to repeat
+                    order = np.lexsort((at, row, around, gram))
+                    g, a = gram[order], around[order]
+                    again = np.zeros(len(order), dtype=bool)
+                    again[order[1:]] = (g[1:] == g[:-1]) & (a[1:] == a[:-1])
+                    salt = np.where(again, row, np.where(np.isin(gram, often), around, 0))
+                    keep = ~again | (low.astype(np.int32) + high >= LENGTH)
+                    yield pa.RecordBatch.from_arrays([pa.array(gram[keep], mask=again[keep]), *[pa.array(c[keep]) for c in (around, salt, row, at, low, high)]], names=SAMPLE.fieldNames())
 
-    return rows.select("row", "text").mapInArrow(run, SAMPLE)
+    return lean(rows).select("row", "text").mapInArrow(run, SAMPLE)
 
 
 def frequent_grams(rows: DataFrame) -> tuple[int, ...]:
     """Grams of a large share of the samples of a few documents: at most 1 / GUESS_SHARE of them."""
     some = rows.select("row", "text").where(F.pmod(F.xxhash64("row"), F.lit(64)) == 0).limit(GUESS_DOCUMENTS)
-    counts = samples(some).groupBy("gram").agg(F.count("*").alias("n"))
+    counts = samples(some).where("gram IS NOT NULL").groupBy("gram").agg(F.count("*").alias("n"))
     top = counts.orderBy(F.desc("n"), "gram").limit(int(1 / GUESS_SHARE)).collect()
     total = sum(r["n"] for r in top)
     return tuple(r["gram"] for r in top if r["n"] > 8 and r["n"] > GUESS_SHARE * total)
@@ -148,6 +158,12 @@ def sorted_classes(found: DataFrame, tasks: int, frequent: tuple[int, ...]) -> D
         # the last class so far: its gram and surroundings, and its first place while that may be alone
         last, alone = None, None
         for batch in batches:
+            known = batch.column("gram").null_count
+            if known:
+                # nulls come first
+                row, at, low, high = (batch.column(n).slice(0, known).to_numpy() for n in ("row", "at", "low", "high"))
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(at - low), pa.array(at + high), pa.nulls(known, pa.int64())], names=MARK.fieldNames())
+                batch = batch.slice(known)
             gram, around, row, at, low, high = (batch.column(n).to_numpy() for n in ("gram", "around", "row", "at", "low", "high"))
             n = len(gram)
             if not n:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sonoframe.llm.common import fold
+from sonoframe.llm.common import fold, lean
 
 #: Bounds of the labelled sample: documents of either label.
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 1500, 3000
@@ -34,7 +34,7 @@ THRESHOLDS = (2, 3, 4, 5)
 #: Tries for a match; with few, common words hide the spans that lie further back.
 SEARCH_LOG = 7
 #: Distinct words whose verdict a worker keeps.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 LONGEST_WORD = 200
 PUNCTUATION = b".,;:!?\"'()[]"
 
@@ -202,7 +202,7 @@ def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_
             s = np.zeros(len(hits)) if state.model is None else 1 / (1 + np.exp(-np.clip(features(hits, n) @ np.array(state.model.weights), -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(hits), pa.array(n)], names=SCORED.fieldNames())
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCORED)
+    return lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCORED)
 
 
 def without_toxic(docs: DataFrame, model: Model | None, *, text_col: str = "text") -> DataFrame:
@@ -218,7 +218,7 @@ def without_toxic(docs: DataFrame, model: Model | None, *, text_col: str = "text
                 batch = batch.filter(pa.array(features(hits, n) @ np.array(state.model.weights) < 0))
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return lean(docs).mapInArrow(run, docs.schema)
 
 
 class Worker:

@@ -34,7 +34,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once, smaller sources up to the repetition limit: one row for each pass over it."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(docs, marks=False)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,6 +70,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def wrapped(docs: DataFrame, **columns: Column) -> DataFrame:
+    """The whole row as ``doc`` beside the given columns, so that no column of ``docs`` clashes with an operator's own."""
+    return docs.select(F.struct(*docs.columns).alias("doc"), *[c.alias(name) for name, c in columns.items()])
+
+
 #: The column that numbered() adds.
 ROW = "_row"
 

@@ -28,6 +28,8 @@ SAMPLE = 2400
 BUCKETS, DIMENSION = 1 << 16, 16
 GRAMS = range(1, 5)
 EPOCHS, BATCH, RATE = 4, 64, 8.0
+#: A small sample is passed over more often, up to so many steps.
+LEAST_STEPS = 480
 #: Words in a training example: each text gives one of each length, so that short texts are known too.
 CUTS = (2, 5, 12, 40)
 #: The share of known-language texts that rejection may cost.
@@ -102,8 +104,10 @@ def train(sample: list[tuple[str, str]], seed: int = 7) -> Model | None:
     y = np.array([number[lang] for _, lang in fit])
     e = rng.normal(0, 1 / DIMENSION, (BUCKETS, DIMENSION)).astype(np.float32)
     w, bias = np.zeros((DIMENSION, len(langs)), dtype=np.float32), np.zeros(len(langs), dtype=np.float32)
-    steps, done = EPOCHS * -(-len(fit) // BATCH), 0
-    for _ in range(EPOCHS):
+    batches = -(-len(fit) // BATCH)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // batches))
+    steps, done = epochs * batches, 0
+    for _ in range(epochs):
         shuffled = rng.permutation(len(fit))
         for start in range(0, len(fit), BATCH):
             part = shuffled[start : start + BATCH]

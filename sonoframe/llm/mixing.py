@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonoframe.llm.common import written
+from sonoframe.llm.common import wrapped, written
 from sonoframe.llm.packing import word_count
 
 REPETITION_LIMIT = 2.0
@@ -24,6 +24,7 @@ SEED = 17
 #: The exponent is a multiple of 1 / WAYS ** ROUNDS.
 WAYS, ROUNDS = 16, 3
 NO_SOURCE = "(none)"
+MARKS = ("mix_source", "mix_block", "mix_epoch", "mix_weight", "mix_progress")
 
 
 def source_key(source_col: str = "source") -> Column:
@@ -106,18 +107,22 @@ def plan(sized: DataFrame, *, repetition_limit: float | None = REPETITION_LIMIT,
     return taken.select("source", "block", "epoch", "weight", "budget", (F.col("start") / F.greatest(F.col("budget"), F.lit(1))).alias("progress")), blocks
 
 
-def mix(docs: DataFrame, *, tokens: Column | None = None, id_col: str = "doc_id", source_col: str = "source", **how) -> DataFrame:
+def mix(docs: DataFrame, *, tokens: Column | None = None, id_col: str = "doc_id", source_col: str = "source", marks: bool = True, **how) -> DataFrame:
     """``docs`` with each row once for each pass that takes its block, and mix_source, mix_block, mix_epoch, mix_weight, mix_progress.
 
     Sorted by mix_progress, any beginning of the result has nearly the target weights. ``tokens`` is a column of
     token counts (words of ``text`` by default); null counts are 0. Rows with a null source form a source of their
-    own; null and repeated ids are kept, and equal ids share a block. An empty table gives no rows.
+    own; null and repeated ids are kept, and equal ids share a block. An empty table gives no rows. Columns of
+    ``docs`` that have one of the added names are replaced; without ``marks`` only the columns of ``docs`` come, as they are.
     """
     sized = written(docs.select(source_key(source_col).alias("source"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(word_count() if tokens is None else tokens, F.lit(0)).cast("long").alias("tokens")), "sized")
     runs, blocks = plan(sized, **how)
     runs = written(runs.select(*[F.col(c).alias(f"mix_{c}") for c in runs.columns]), "plan")
-    placed = docs.withColumn("mix_source", source_key(source_col)).withColumn("mix_block", block_of(blocks, id_col))
-    return placed.join(runs.drop("mix_budget").hint("merge"), ["mix_source", "mix_block"])
+    placed = wrapped(docs, mix_source=source_key(source_col), mix_block=block_of(blocks, id_col))
+    mixed = placed.join(runs.drop("mix_budget").hint("merge"), ["mix_source", "mix_block"])
+    if not marks:
+        return mixed.select("doc.*")
+    return mixed.select(*[F.col("doc")[c].alias(c) for c in docs.columns if c not in MARKS], *MARKS)
 
 
 #: The same rows as mix() of ``documents`` gives op10, for its default parameters.

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sonoframe.llm.common import ROW, lean, numbered, written
+from sonoframe.llm.common import ROW, lean, numbered, wrapped, written
 from sonoframe.llm.components import components
 
 RADIUS = 4
@@ -200,8 +200,12 @@ def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, id_col: str = "doc
 
 
 def one_of_each(docs: DataFrame, *, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with only the first row, by id, of each component of near duplicates."""
-    rows, _ = numbered(docs, id_col, text_col)
-    found = near_duplicates(rows, radius=radius, id_col=ROW, text_col=text_col)
+    """``docs`` with only the first row, by id, of each component of near duplicates.
+
+    Of rows with equal ids, one (by a hash of the text) counts as the first; rows with null ids come last. Null and
+    empty texts are duplicates of one another. Any further columns stay as they are.
+    """
+    rows, _ = numbered(wrapped(docs, doc_id=F.col(id_col), text=F.col(text_col)))
+    found = near_duplicates(rows, radius=radius, id_col=ROW)
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(ROW))
-    return rows.join(kept.hint("merge"), ROW, "left_semi").select(*docs.columns)
+    return rows.join(kept.hint("merge"), ROW, "left_semi").select("doc.*")

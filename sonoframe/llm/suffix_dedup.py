@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sonoframe.llm.common import ROW, lean, numbered, partitions, written
+from sonoframe.llm.common import ROW, lean, numbered, partitions, wrapped, written
 
 LENGTH, GRAM = 100, 32
 #: Grams of a string; a sample has at most BEFORE bytes of a string before it.
@@ -398,18 +398,18 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with each text cut as remove_repeats() says, and its new length in ``chars_col``; a character that loses a byte goes. A null text becomes empty."""
-    rows, _ = numbered(docs, id_col, text_col)
-    kept = remove_repeats(rows, id_col=ROW, text_col=text_col)
+    rows, _ = numbered(wrapped(docs, doc_id=F.col(id_col), text=F.col(text_col)))
+    kept = remove_repeats(rows, id_col=ROW)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.decode("utf-8", "ignore") for x in batch.column(1).to_pylist()], pa.string())], names=[ROW, "_kept"])
 
     texts = kept.select(F.col("doc_id").alias(ROW), "kept").mapInArrow(decode, f"{ROW} long, _kept string")
-    changed = rows.drop(text_col).join(texts, ROW).withColumn(text_col, F.col("_kept"))
+    new = {text_col: F.col("_kept")}
     if chars_col in docs.columns:
-        changed = changed.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
-    return changed.select(*docs.columns)
+        new[chars_col] = F.length("_kept").cast(docs.schema[chars_col].dataType)
+    return rows.join(texts, ROW).select(*[new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
 
 
 def digests(cleaned_rows: DataFrame) -> DataFrame:

@@ -11,8 +11,14 @@ import numpy as np
 
 #: Fixed values of the HTML syntax.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "math")
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter output q rp rt ruby s samp select small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript template iframe".split())
+#: Of these, the content is no markup, so that without an end tag it reaches to the end of the page.
+CODE = frozenset({"script", "style"})
+#: What these hold flows with the text around them, whatever its tags.
+FOREIGN = frozenset({"svg", "math"})
+#: Leaves of formulas.
+SYMBOLS = frozenset("mi mn mo ms mtext annotation".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br canvas cite code data del dfn em font i img input ins kbd label mark meter object output q rp rt ruby s samp select small span strike strong sub sup time tt u var wbr".split())
 CLOSES = {
     "p": frozenset({"p"}), "li": frozenset({"li", "p"}), "dt": frozenset({"dt", "dd", "p"}), "dd": frozenset({"dt", "dd", "p"}), "tr": frozenset({"tr", "td", "th", "p"}), "td": frozenset({"td", "th", "p"}), "th": frozenset({"td", "th", "p"}), "option": frozenset({"option"}),
 }
@@ -22,6 +28,8 @@ ENDS_P = frozenset("address article aside blockquote details div dl fieldset fig
 SCOPE = frozenset("ul ol dl table div article section main aside nav header footer form body blockquote".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: Ends of raw elements; a template may hold others.
+ENDS = {tag: re.compile(rf"<(/{'?' if tag == 'template' else ''}){tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
 NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PARTS = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -42,6 +50,8 @@ class Block:
 class Open:
     tag: str
     names: tuple[str, ...] = field(default=())
+    inline: bool = False
+    foreign: bool = False
 
 
 def names_of(tag: str, attributes: str) -> tuple[str, ...]:
@@ -54,10 +64,29 @@ def names_of(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+def raw_end(page: str, tag: str, at: int) -> int | None:
+    """Where a raw element ends whose content begins at ``at``; None if it has no end tag."""
+    depth, last = 1, None
+    for m in ENDS[tag].finditer(page, at):
+        depth += -1 if m[1] else 1
+        if m[1]:
+            last = m.end()
+            if not depth:
+                break
+    if last is None:
+        return None
+    close = page.find(">", last)
+    return close + 1 if close >= 0 else len(page)
+
+
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page in order: runs of text that no block element interrupts, with references decoded and white space folded.
 
     Markup may be broken: end tags without a beginning are passed over, elements left open end with what holds them.
+    Scripts, styles, frames and templates have no text, and what looks like markup in them is none; a script or
+    style without an end tag reaches to the end of the page, as in browsers, while such a frame, noscript or
+    template is passed over and what follows is kept. The text of formulas, drawings, canvases and objects counts,
+    and doesn't part the block that holds it.
     """
     if not page:
         return []
@@ -65,23 +94,18 @@ def blocks(page: str | None) -> list[Block]:
     stack: list[Open] = []
     pieces: list[str] = []
     anchor = linked = links = 0
-    at, raw = 0, None
+    at, unended = 0, set()
 
     def flush() -> None:
         nonlocal linked, links
         text = " ".join("".join(pieces).split())
         if text:
-            out.append(Block(text, tuple(o.names for o in stack if o.tag not in INLINE), linked, links))
+            out.append(Block(text, tuple(o.names for o in stack if not o.inline), linked, links))
         pieces.clear()
         linked = links = 0
 
-    for m in TOKEN.finditer(page):
+    while m := TOKEN.search(page, at):
         start, end = m.span()
-        if raw is not None:
-            # inside script and the like only the end tag counts
-            if m[1] and m[2].lower() == raw:
-                raw, at = None, end
-            continue
         if start > at:
             piece = html.unescape(page[at:start])
             pieces.append(piece)
@@ -91,27 +115,38 @@ def blocks(page: str | None) -> list[Block]:
         if m[2] is None:
             continue
         tag = m[2].lower()
+        within = bool(stack) and stack[-1].foreign
+        inline = tag in INLINE or tag in FOREIGN or (within and tag not in ENDS_P and tag not in CLOSES and tag not in SCOPE)
         if m[1]:
-            if tag not in INLINE:
+            if not inline:
                 flush()
             elif tag == "a" and anchor:
                 anchor -= 1
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i].tag == tag:
-                    if tag not in INLINE:
+                    if not inline:
                         anchor = 0
                     del stack[i:]
                     break
-                if tag in INLINE and stack[i].tag not in INLINE:
+                if inline and not stack[i].inline:
                     break
+            if within and tag not in SYMBOLS and not tag.startswith("m"):
+                pieces.append(" ")
             continue
         if tag in RAW:
-            if not m[3].rstrip().endswith("/"):
-                raw = tag
             pieces.append(" ")
+            if not m[3].rstrip().endswith("/") and tag not in unended:
+                # what is inside is no markup; only the end tag counts
+                closed = raw_end(page, tag, end)
+                if closed is not None:
+                    at = closed
+                elif tag in CODE:
+                    at = len(page)
+                else:
+                    unended.add(tag)
             continue
-        if tag in INLINE:
-            if tag == "br":
+        if inline:
+            if tag in ("br", "svg", "object", "canvas") or tag in SYMBOLS or (within and not tag.startswith("m")):
                 pieces.append(" ")
             elif tag == "a":
                 anchor += 1
@@ -119,6 +154,8 @@ def blocks(page: str | None) -> list[Block]:
         else:
             flush()
             anchor = 0
+            while stack and stack[-1].foreign:
+                stack.pop()
             ends = CLOSES.get(tag, frozenset({"p"}) if tag in ENDS_P else frozenset())
             if ends:
                 for i in range(len(stack) - 1, -1, -1):
@@ -128,12 +165,11 @@ def blocks(page: str | None) -> list[Block]:
                     if stack[i].tag in SCOPE:
                         break
         if tag not in VOID and not m[3].rstrip().endswith("/"):
-            stack.append(Open(tag, names_of(tag, m[3])))
-        elif tag in VOID and tag not in INLINE:
+            stack.append(Open(tag, names_of(tag, m[3]), inline, inline and (within or tag in FOREIGN)))
+        elif tag in VOID and not inline:
             flush()
-    if raw is None:
-        pieces.append(html.unescape(page[at:]))
-        flush()
+    pieces.append(html.unescape(page[at:]))
+    flush()
     return out
 
 

@@ -32,6 +32,13 @@ BAD = {
 }
 SEMANTIC = {"menu": "nav", "header": "header", "footer": "footer", "side": "aside", "notice": "div", "advert": "div", "comments": "section", "form": "form"}
 
+#: Elements without text of their own whose content only looks like markup, or that are left open.
+BARE = [
+    "<script>for(i=0;i<n;i++){f(i)}</script>", "<script>if (a<b && c>d) { g(x => x<y) }</SCRIPT >", "<script><!--\nvar a = '<p>';\n</script>", "<script>//<![CDATA[\nvar d = \"</p>\";\n//]]></script>", "<script>s = 'it\\'s <b'</script>", "<style>a>b{c:'<d'}</style>", "<template><template><p>x</p></template><p>y</p></template>",
+    '<svg viewBox="0 0 1 1"><g><path d="M0 0"></g></svg>', "<svg><svg></svg></svg>", "<svg><path d='M1 1'>", '<object data="x.swf">', "<object><object></object>", "<canvas>", "<iframe src='/x'></iframe>", '<iframe src="/x">', "<noscript><img src='/x'></noscript>",
+]
+FORMULA = "<math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math>"
+
 
 class Maker:
     def __init__(self, seed: int):
@@ -42,6 +49,7 @@ class Maker:
         self.syllables = [r.choice(consonants) * r.randint(0, 1) + r.choice(alphabet) + r.choice(consonants) * r.randint(0, 1) for _ in range(50)]
         self.junk = r.random() < 0.1
         self.semantic = r.random() < 0.7
+        self.flaws = random.Random(-seed - 1)
         self.out: list[str] = []
         self.truth: list[tuple[str, bool]] = []
 
@@ -73,6 +81,10 @@ class Maker:
         if content and inner is None and r.random() < 0.25:
             words = shown.split(" ")
             k = r.randrange(len(words))
+            if self.flaws.random() < 0.1:
+                words.insert(k, FORMULA)
+                text = " ".join(words).replace(FORMULA, "x = 1 2")
+                k += 1
             words[k] = r.choice(["<b>{}</b>", "<em>{}</em>", '<a href="/x">{}</a>', "<strong>{}</strong>", "<span>{}</span>"]).format(words[k])
             shown = " ".join(words)
         close = "" if tag in ("p", "li") and r.random() < 0.1 else f"</{tag}>"
@@ -161,6 +173,8 @@ class Maker:
         if wrapped:
             self.out.append(f"<div{self.attribute(GOOD, 0.7)}>")
         for _ in range(r.randint(1, 14)):
+            if self.flaws.random() < 0.06:
+                self.out.append(self.flaws.choice(BARE))
             kind = r.random()
             if kind < 0.7:
                 self.say(self.prose(), True, "p" if r.random() < 0.93 else "div")
@@ -196,7 +210,7 @@ class Maker:
         title = self.sentence(2, 9)
         self.out.append('<!DOCTYPE html><html lang="xx"><head><meta charset="utf-8">')
         self.say(title, False, "title")
-        self.out.append("<style>p{margin:0}</style><script>var t=\"</p>\";</script></head><body>")
+        self.out.append("<style>p{margin:0}</style><script>var t=\"</p>\";</script>" + (self.flaws.choice(BARE[:7]) if self.flaws.random() < 0.4 else "") + "</head><body>")
         for kind, p in (("notice", 0.25), ("header", 0.4), ("menu", 0.8), ("advert", 0.4), ("form", 0.1)):
             if r.random() < p:
                 self.part(kind)

@@ -244,15 +244,19 @@ class Worker:
         found = words(text)
         if self.windows is None:
             return 0, len(found)
+        if len(self.hot) > CACHED_WORDS:
+            self.hot.clear()
+        own = set()
         for w in set(found) - self.cold:
-            if w not in self.hot:
-                if self.windows.saved(w) >= self.model.threshold:
-                    if len(self.hot) > CACHED_WORDS:
-                        self.hot.clear()
+            if w in self.hot:
+                own.add(w)
+            elif self.windows.saved(w) >= self.model.threshold:
+                own.add(w)
+                if len(self.hot) <= CACHED_WORDS:
                     self.hot.add(w)
-                elif len(self.cold) < CACHED_WORDS and len(w) <= 64:
-                    self.cold.add(w)
-        return sum(map(self.hot.__contains__, found)), len(found)
+            elif len(self.cold) < CACHED_WORDS and len(w) <= 64:
+                self.cold.add(w)
+        return sum(map(own.__contains__, found)), len(found)
 
 
 _worker: list[Worker] = []

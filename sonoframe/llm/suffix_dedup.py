@@ -237,7 +237,8 @@ def prefix_names(rows: np.ndarray, lengths: np.ndarray, top: np.ndarray | None =
     words = np.zeros((len(rows), width), dtype=np.uint8)
     words[:, : rows.shape[1]] = rows
     keys = words.view(">u8").astype(np.uint64)
-    order = np.lexsort([keys[:, i] for i in range(keys.shape[1] - 1, -1, -1)] + ([top] if top is not None else []))
+    # rows that only NUL bytes tell apart: short ones first, so that equal ones are neighbours
+    order = np.lexsort([lengths] + [keys[:, i] for i in range(keys.shape[1] - 1, -1, -1)] + ([top] if top is not None else []))
     a, b = rows[order[1:]], rows[order[:-1]]
     unlike = a != b
     common = np.where(unlike.any(axis=1), unlike.argmax(axis=1), rows.shape[1])

@@ -113,7 +113,7 @@ def mix(docs: DataFrame, *, tokens: Column | None = None, id_col: str = "doc_id"
     Sorted by mix_progress, any beginning of the result has nearly the target weights. ``tokens`` is a column of
     token counts (words of ``text`` by default); null counts are 0. Rows with a null source form a source of their
     own; null and repeated ids are kept, and equal ids share a block. An empty table gives no rows. Columns of
-    ``docs`` that have one of the added names are replaced; without ``marks`` only the columns of ``docs`` come, as they are.
+    ``docs`` that have one of the added names are replaced; without ``marks`` only the columns of ``docs`` come, as they are, sorted by progress.
     """
     sized = written(docs.select(source_key(source_col).alias("source"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(word_count() if tokens is None else tokens, F.lit(0)).cast("long").alias("tokens")), "sized")
     runs, blocks = plan(sized, **how)
@@ -121,7 +121,7 @@ def mix(docs: DataFrame, *, tokens: Column | None = None, id_col: str = "doc_id"
     placed = wrapped(docs, mix_source=source_key(source_col), mix_block=block_of(blocks, id_col))
     mixed = placed.join(runs.drop("mix_budget").hint("merge"), ["mix_source", "mix_block"])
     if not marks:
-        return mixed.select("doc.*")
+        return mixed.orderBy("mix_progress", "mix_source", "mix_epoch", "mix_block", F.xxhash64(F.col("doc")[id_col])).select("doc.*")
     return mixed.select(*[F.col("doc")[c].alias(c) for c in docs.columns if c not in MARKS], *MARKS)
 
 

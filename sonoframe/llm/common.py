@@ -6,7 +6,9 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +17,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one only if that is unset."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Where that is unset, the context's checkpoint folder; in local mode without one, a temporary folder.
+    On a cluster there is no folder to guess, so this raises ValueError.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         current = context._jsc.sc().getCheckpointDir()
         if current.isEmpty():
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="shared-"))
             current = context._jsc.sc().getCheckpointDir()
         found = current.get()
@@ -54,16 +62,15 @@ def fold(doc_id: Column | str, of: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % of
 
 
-#: Rows that a Python worker gets at once: texts can be long, and a worker holds some batches.
+#: Rows that a step in Python works on at once: texts can be long, and their objects take several times their bytes.
 BATCH_ROWS = 1000
 
 
-def lean(df: DataFrame) -> DataFrame:
-    """``df``, for a step in Python: its session's Arrow batches hold at most BATCH_ROWS rows from now on."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(conf.get(key)) > BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
-    return df
+def pieces(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sonoframe.llm import lstm, page_templates
-from sonoframe.llm.common import lean
+from sonoframe.llm.common import pieces
 from sonoframe.llm.html_blocks import blocks, describe
 
 TRAINING_PAGES, EPOCHS = 1800, 6
@@ -76,12 +76,10 @@ def extract(pages: DataFrame, *, model: lstm.Labeller | None = None, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pickle.loads(packed)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 250):
-                part = batch.slice(at, 250)
-                found = extract_pages(part.column(2).to_pylist(), known)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([t for t, _, _ in found], pa.string()), pa.array([len(t) for t, _, _ in found], pa.int64()), pa.array([n for _, n, _ in found], pa.int64()), pa.array([k for _, _, k in found], pa.int64())], names=EXTRACTED.fieldNames()
-                )
-
-    return lean(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, EXTRACTED)
+        for part in pieces(batches, 250):
+            found = extract_pages(part.column(2).to_pylist(), known)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array([t for t, _, _ in found], pa.string()), pa.array([len(t) for t, _, _ in found], pa.int64()), pa.array([n for _, n, _ in found], pa.int64()), pa.array([k for _, _, k in found], pa.int64())], names=EXTRACTED.fieldNames()
+            )
+
+    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, EXTRACTED)

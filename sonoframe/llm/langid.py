@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sonoframe.llm.common import fold, lean
+from sonoframe.llm.common import fold, pieces
 
 UNKNOWN = "und"
 #: Bound of the labelled sample, shared evenly by the languages.
@@ -215,10 +215,8 @@ def predict(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = worker(packed)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                langs, scores = state(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores), pa.array([x != UNKNOWN and bool(s >= least) for x, s in zip(langs, scores, strict=True)], pa.bool_())], names=PREDICTED.fieldNames())
+        for part in pieces(batches, 256):
+            langs, scores = state(part.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores), pa.array([x != UNKNOWN and bool(s >= least) for x, s in zip(langs, scores, strict=True)], pa.bool_())], names=PREDICTED.fieldNames())
 
-    return lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PREDICTED)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PREDICTED)

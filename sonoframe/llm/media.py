@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sonoframe.llm import jpeg
-from sonoframe.llm.common import lean
+from sonoframe.llm.common import pieces
 
 UNIT = 64
 #: Payload bytes that a worker codes at once.
@@ -65,14 +65,14 @@ def store_payloads(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             ids, texts = batch.column(0), [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
             for a, b in chunks([len(t) for t in texts]):
                 part = texts[a:b]
                 files = jpeg.encode([padded(t) for t in part], [str(len(t)).encode() for t in part])
                 yield pa.RecordBatch.from_arrays([ids[a:b], pa.array(files, pa.binary())], names=["doc_id", "media"])
 
-    return lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(store, MEDIA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(store, MEDIA)
 
 
 def media_features(media: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def media_features(media: DataFrame) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(FEATURES)
-        for batch in batches:
+        for batch in pieces(batches):
             ids, blobs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in chunks([len(x or b"") for x in blobs]):
                 there = [i for i in range(a, b) if blobs[i] is not None]

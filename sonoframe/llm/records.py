@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import posixpath
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sonoframe.llm.common import lean
+from sonoframe.llm.common import partitions, pieces
 
 MASK_DELTA = 0xA282EAD8
 INDEX = T.StructType(
@@ -41,8 +42,17 @@ INDEX = T.StructType(
         T.StructField("n_tokens", T.LongType()),
     ]
 )
-#: Word pieces whose ids a worker keeps; frequent pieces come early, so later ones go uncached.
-CACHED_PIECES = 250_000
+#: Pieces of either kind whose ids a worker keeps; frequent pieces come early, so later ones go uncached.
+CACHED_PIECES = 400_000
+#: Bytes of text for a record file, and so for a task.
+FILE_BYTES = 128 << 20
+
+#: Fixed by the vocabulary: white space, and its pattern of pre-tokens where letters are those of ASCII, Latin-1 and
+#: Latin Extended-A and -B, and digits are 0 to 9.
+SPACES, LETTERS = r" \t\n\x0b\x0c\r", "A-Za-zÀ-ÖØ-öø-ɏ"
+PRE_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^{SPACES}{LETTERS}0-9]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+#: Texts that this pattern splits as the vocabulary's own does.
+PLAIN = re.compile(f"[\x00-\x7f{LETTERS}¡¢£§©«®°±»¿×÷–—‘’“”„•…‹›€]*")
 
 
 def masked_crc(data: bytes) -> int:
@@ -69,22 +79,52 @@ def unframe(data: bytes) -> bytes:
     return payload
 
 
+def byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write printable bytes as themselves and the others as letters from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class Ids(dict):
+    """Ids of pieces, as bytes; a piece that isn't kept is made by ``make``, and kept while there is room."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.make(piece)
+        if len(self) < CACHED_PIECES and len(piece) <= 64:
+            self[piece] = found
+        return found
+
+
 class Encoder:
-    """Ids of whole texts, by pieces between single spaces.
+    """Ids of whole texts, by pieces that a worker encodes once.
 
-    In a byte-level vocabulary with a regular-expression split, a space between two characters that
-    aren't white space always begins a pre-token, so the pieces are encoded one by one and kept.
-    Texts with other runs of white space are cut only where that holds.
+    Texts in ``PLAIN`` characters are split into pre-tokens, as the vocabulary's own pattern says, and the model
+    encodes those. Elsewhere a space between two characters that aren't white space always begins a pre-token:
+    other texts are cut there, and the tokenizer encodes what isn't plain.
     """
 
     def __init__(self, path: str, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.kept = Tokenizer.from_file(path), dtype, {}
+        self.tokenizer, self.dtype, self.letters = Tokenizer.from_file(path), dtype, byte_letters()
+        self.model = self.tokenizer.model
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokens, self.pieces = Ids(self.token), Ids(self.piece)
+
+    def token(self, token: str) -> bytes:
+        spelled = token.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize(spelled)], dtype=self.dtype).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def encode_all(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def plain(self, text: str) -> bool:
+        return PLAIN.fullmatch(text) is not None and not any(a in text for a in self.added)
 
     @staticmethod
     def cut(text: str) -> list[str]:
@@ -99,18 +139,13 @@ class Encoder:
             held = not part or part[-1].isspace()
         return out
 
+    def encode(self, text: str) -> bytes:
+        if self.plain(text):
+            return b"".join(map(self.tokens.__getitem__, PRE_TOKEN.findall(text)))
+        return b"".join([self.encode(p) if self.plain(p) else self.pieces[p] for p in self.cut(text)])
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        kept = self.kept
-        cuts = [self.cut(t) if t else [] for t in texts]
-        new = list({p for pieces in cuts for p in pieces if p not in kept})
-        fresh = dict(zip(new, self.encode_all(new), strict=True)) if new else {}
-        room = CACHED_PIECES - len(kept)
-        for p in new[: max(0, room)]:
-            if len(p) <= 64:
-                kept[p] = fresh[p]
-        if not fresh:
-            return [b"".join([kept[p] for p in pieces]) for pieces in cuts]
-        return [b"".join([kept[p] if p in kept else fresh[p] for p in pieces]) for pieces in cuts]
+        return [self.encode(t) if t else b"" for t in texts]
 
 
 @lru_cache(maxsize=2)
@@ -143,10 +178,13 @@ def write_records(docs: DataFrame, folder: str, *, tokenizer: str, end_id: int |
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
     end = b"" if end_id is None else np.array([end_id], dtype=dtype).tobytes()
     width = np.dtype(dtype).itemsize
-    rows = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # ranges are found from a sample of the keys that reaches the driver, so no text is one
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    rows = rows.repartitionByRange(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    if parts is None:
+        n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(partitions(spark), -(-n_bytes // FILE_BYTES))
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -155,7 +193,7 @@ def write_records(docs: DataFrame, folder: str, *, tokenizer: str, end_id: int |
         tmp = f"_{name}.{task.taskAttemptId()}"
         encode = encoder(tokenizer, dtype)
         out = []
-        for batch in batches:
+        for batch in pieces(batches):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             offsets, sizes, tokens = [], [], []
             if sink is None and texts:
@@ -188,19 +226,17 @@ def read_records(index: DataFrame, folder: str, schema: T.StructType, each) -> D
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, base = fs.FileSystem.from_uri(folder)
         opened: dict[str, fs.NativeFile] = {}
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                piece = batch.slice(start, 512)
-                cols = {name: piece.column(i).to_pylist() for i, name in enumerate(piece.schema.names)}
-                payloads = []
-                for name, offset, n in zip(cols["file"], cols["offset"], cols["n_bytes"], strict=True):
-                    if name not in opened:
-                        for other in opened.values():
-                            other.close()
-                        opened = {name: filesystem.open_input_file(posixpath.join(base, name))}
-                    opened[name].seek(offset)
-                    payloads.append(unframe(opened[name].read(n)))
-                yield pa.RecordBatch.from_pydict(each(cols, payloads), schema=arrow)
+        for batch in pieces(batches, 512):
+            cols = {name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)}
+            payloads = []
+            for name, offset, n in zip(cols["file"], cols["offset"], cols["n_bytes"], strict=True):
+                if name not in opened:
+                    for other in opened.values():
+                        other.close()
+                    opened = {name: filesystem.open_input_file(posixpath.join(base, name))}
+                opened[name].seek(offset)
+                payloads.append(unframe(opened[name].read(n)))
+            yield pa.RecordBatch.from_pydict(each(cols, payloads), schema=arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
 

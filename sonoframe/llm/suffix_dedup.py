@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sonoframe.llm.common import ROW, lean, numbered, partitions, wrapped, written
+from sonoframe.llm.common import ROW, numbered, partitions, wrapped, written
 
 LENGTH, GRAM = 100, 32
 #: Grams of a string; a sample has at most BEFORE bytes of a string before it.
@@ -100,7 +100,7 @@ def packed(rows: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze(x or b"") for x in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["row", "z"])
 
-    return lean(rows).select("row", "text").mapInArrow(run, PACKED)
+    return rows.select("row", "text").mapInArrow(run, PACKED)
 
 
 def samples(rows: DataFrame, frequent: tuple[int, ...] = ()) -> DataFrame:
@@ -137,7 +137,7 @@ def samples(rows: DataFrame, frequent: tuple[int, ...] = ()) -> DataFrame:
                     keep = ~again | (low.astype(np.int32) + high >= LENGTH)
                     yield pa.RecordBatch.from_arrays([pa.array(gram[keep], mask=again[keep]), *[pa.array(c[keep]) for c in (around, salt, row, at, low, high)]], names=SAMPLE.fieldNames())
 
-    return lean(rows).select("row", "text").mapInArrow(run, SAMPLE)
+    return rows.select("row", "text").mapInArrow(run, SAMPLE)
 
 
 def frequent_grams(rows: DataFrame) -> tuple[int, ...]:

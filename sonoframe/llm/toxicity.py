@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sonoframe.llm.common import fold, lean
+from sonoframe.llm.common import fold, pieces
 
 #: Bounds of the labelled sample: documents of either label.
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 1500, 3000
@@ -208,13 +208,13 @@ def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = worker(packed)
-        for batch in batches:
+        for batch in pieces(batches):
             counts = [state.count(t) for t in batch.column(1).to_pylist()]
             hits, n = (np.array([c[i] for c in counts], dtype=np.int64) for i in (0, 1))
             s = np.zeros(len(hits)) if state.model is None else 1 / (1 + np.exp(-np.clip(features(hits, n) @ np.array(state.model.weights), -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(hits), pa.array(n)], names=SCORED.fieldNames())
 
-    return lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCORED)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCORED)
 
 
 def without_toxic(docs: DataFrame, model: Model | None, *, text_col: str = "text") -> DataFrame:
@@ -223,14 +223,14 @@ def without_toxic(docs: DataFrame, model: Model | None, *, text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = worker(packed)
-        for batch in batches:
+        for batch in pieces(batches):
             counts = [state.count(t) for t in batch.column(column).to_pylist()]
             if state.model is not None and counts:
                 hits, n = np.array(counts, dtype=np.int64).T
                 batch = batch.filter(pa.array(features(hits, n) @ np.array(state.model.weights) < 0))
             yield batch
 
-    return lean(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 class Worker:

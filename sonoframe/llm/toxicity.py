@@ -1,17 +1,20 @@
 """Toxicity by compression distance: which of two zstandard dictionaries shortens a text's windows more.
 
-One dictionary is trained on toxic text, one on ordinary text; both begin with the same common words, so that a
-window of ordinary text compresses alike with either and the difference of the two lengths shows what only toxic
-text has. A window is a word with its boundaries, followed by a tail that both dictionaries hold: the compressor
-then always finds something to gain, and one byte of difference counts. A window is toxic if the toxic
-dictionary saves at least ``threshold`` bytes; the threshold and the map from a document's toxic windows to a
-score are calibrated on labelled documents that the dictionaries haven't seen.
+One dictionary is trained by zstandard on toxic passages, one on ordinary ones. Both begin with the same common
+words, so that a window of ordinary text compresses alike with either and the difference of the two lengths shows
+what only toxic text has. Toxic documents are mostly ordinary text, so a toxic document's passage is what in it is
+rare elsewhere: words whose document frequencies stand out by a log-likelihood ratio. A window is a word with its
+boundaries, followed by a tail that both dictionaries hold: the compressor then always finds something to gain, and
+one byte of difference counts. A window is toxic if the toxic dictionary saves at least ``threshold`` bytes. The
+ratio that passages need, the threshold and the map from a document's toxic windows to a score are calibrated on
+labelled documents that the dictionaries haven't seen.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
+import struct
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,11 +29,15 @@ from sonoframe.llm.common import fold, pieces
 
 #: Bounds of the labelled sample: documents of either label.
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 1500, 3000
-SHARED_BYTES, OWN_BYTES, TAIL_BYTES = 48_000, 8_000, 40
-SPAN_BYTES = range(5, 15)
-#: A span counts as toxic from this log-likelihood ratio of its document frequencies.
-LEAST_CONTRAST, LEAST_DOCUMENTS = 25.0, 4
+#: Bytes of the common words that both dictionaries begin with, of a trained part, and of the tail.
+SHARED_BYTES, TRAINED_BYTES, TAIL_BYTES = 48_000, 8_000, 40
+#: Lengths of the substrings that training counts, and of the segments that it takes.
+TRAINED_GRAM, TRAINED_SEGMENT = 6, 32
+#: Calibrated: the least log-likelihood ratio of a toxic passage's word, and the bytes that a toxic window saves.
+CONTRASTS = (6.0, 12.0, 25.0)
 THRESHOLDS = (2, 3, 4, 5)
+#: A passage's word is so many times as frequent in toxic documents.
+LEAST_RATIO = 5.0
 #: Tries for a match; with few, common words hide the spans that lie further back.
 SEARCH_LOG = 7
 #: Distinct words whose verdict a worker keeps.
@@ -54,15 +61,6 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def spans(tokens: list[bytes]) -> set[bytes]:
-    """Beginnings of words, with the boundary before them, and whole words with both."""
-    found = set()
-    for w in set(tokens):
-        bounded = b" " + w.strip(PUNCTUATION) + b" "
-        found.update(bounded[:n] for n in range(SPAN_BYTES.start, min(len(bounded), SPAN_BYTES.stop - 1) + 1))
-    return found
-
-
 def contrast(a: int, n: int, b: int, m: int) -> float:
     """Log-likelihood ratio of a in n against b in m; 0 unless the first share is the larger."""
     if a * m <= b * n:
@@ -94,27 +92,41 @@ class Windows:
         return len(self.ordinary(window)) - len(self.toxic(window))
 
 
-def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes, bytes]:
-    """Dictionaries from the words of toxic and of ordinary documents, and the tail that they share."""
-    a, b = Counter(), Counter()
-    for d in toxic:
-        a.update(spans(d))
-    for d in ordinary:
-        b.update(spans(d))
-    ranked = sorted(((contrast(a[s], len(toxic), b[s], max(1, len(ordinary))), s) for s in a if a[s] >= LEAST_DOCUMENTS), key=lambda x: (-x[0], x[1]))
-    chosen: list[bytes] = []
-    for score, s in ranked:
-        if score < LEAST_CONTRAST or sum(map(len, chosen)) > OWN_BYTES:
-            break
-        if not any(s in c for c in chosen):
-            chosen = [c for c in chosen if not (c in s and a[c] <= 1.1 * a[s])] + [s]
+def content(dictionary: bytes) -> bytes:
+    """The text in a trained dictionary: what follows its header, which ends with three offsets."""
+    return dictionary[dictionary.index(struct.pack("<3I", 1, 4, 8)) + 12 :]
+
+
+def trained(passages: list[bytes]) -> bytes:
+    """The content of a dictionary that zstandard trains on passages; passages that fit into one whole need no training."""
+    import zstandard
+
+    if sum(map(len, passages)) <= TRAINED_BYTES:
+        return b"".join(dict.fromkeys(passages))
+    try:
+        found = zstandard.train_dictionary(TRAINED_BYTES, passages, d=TRAINED_GRAM, k=TRAINED_SEGMENT)
+    except zstandard.ZstdError:  # too few passages to choose from
+        return b"".join(dict.fromkeys(passages))[-TRAINED_BYTES:]
+    return content(found.as_bytes())
+
+
+def passages(docs: list[list[bytes]], wanted: set[bytes]) -> list[bytes]:
+    """Each document's wanted words with their boundaries."""
+    found = ([w for w in (x.strip(PUNCTUATION) for x in d) if w in wanted] for d in docs)
+    return [b" " + b" ".join(x) + b" " for x in found if x]
+
+
+def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]], least: float) -> tuple[bytes, bytes, bytes]:
+    """Dictionaries trained on toxic and on ordinary documents, and the tail that they share."""
+    a, b = (Counter(w for d in docs for w in {x.strip(PUNCTUATION) for x in d}) for docs in (toxic, ordinary))
+    n, m = len(toxic), len(ordinary)
+    telling = {w for w in a if w and a[w] * m >= LEAST_RATIO * n * (b[w] + 0.5) and contrast(a[w], n, b[w], m) >= least}
     common = Counter(w for d in ordinary for w in d)
     ranked_words = sorted(common, key=lambda w: (-common[w], w))
     shared = b" ".join(reversed(ranked_words[:8000]))[-SHARED_BYTES:]
-    own = b"\n".join(reversed(chosen))
-    others = b" ".join(ranked_words[8000:20_000])[: len(own)]
+    own, others = trained(passages(toxic, telling)), trained(passages(ordinary, set(ranked_words[8000:])))
     end = b"\n" * 16  # the compressor looks up no match in the last bytes
-    return shared + b"\n" + own + end, shared + b"\n" + others.ljust(len(own), b" ") + end, shared[-TAIL_BYTES:]
+    return shared + b"\n" + own + end, shared + b"\n" + others[: len(own)].ljust(len(own), b" ") + end, shared[-TAIL_BYTES:]
 
 
 def features(hits: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -153,39 +165,40 @@ def ranked(score: np.ndarray, y: np.ndarray) -> float:
 
 
 def train(sample: list[tuple[str | None, int]], toxic_share: float | None = None) -> Model | None:
-    """Fit on (text, label) rows: two in three for the dictionaries, the others for thresholds and score. None without both labels.
+    """Fit on (text, label) rows: two in three for the dictionaries, the others for calibration; all for both where a label has under three. None unless texts with words have both labels.
 
     ``toxic_share`` is the share of label 1 where the sample comes from, if the sample's own share differs.
     """
-    toxic, ordinary = [words(t) for t, y in sample if y == 1], [words(t) for t, y in sample if y == 0]
-    if len(toxic) < 6 or len(ordinary) < 6:
+    toxic, ordinary = ([w for w in (words(t) for t, y in sample if y == label) if w] for label in (1, 0))
+    if not toxic or not ordinary:
         return None
-    seen = lambda docs: [d for i, d in enumerate(docs) if i % 3]
-    rest = [(d, 1) for d in toxic[::3]] + [(d, 0) for d in ordinary[::3]]
-    both = dictionaries(seen(toxic), seen(ordinary))
-    windows, kept = Windows(*both), {}
-    for d, _ in rest:
-        for w in set(d) - kept.keys():
-            kept[w] = windows.saved(w)
-    saved = [np.array([kept[w] for w in d]) for d, _ in rest]
+    seen = lambda docs: [d for i, d in enumerate(docs) if i % 3] if len(docs) > 2 else docs
+    rest = [(d, 1) for d in (toxic[::3] if len(toxic) > 2 else toxic)] + [(d, 0) for d in (ordinary[::3] if len(ordinary) > 2 else ordinary)]
     y, n = np.array([label for _, label in rest]), np.array([len(d) for d, _ in rest])
     shift = 0.0
     if toxic_share is not None and 0 < toxic_share < 1:
         shift = math.log(toxic_share / (1 - toxic_share)) - math.log(y.sum() / (len(y) - y.sum()))
     best = None
-    for threshold in THRESHOLDS:
-        hits = np.array([int((s >= threshold).sum()) for s in saved])
-        w = rising(features(hits, n), y)
-        area = ranked(features(hits, n) @ w, y)
-        if best is None or area > best[0]:
-            best = (area, threshold, (float(w[0]) + shift, float(w[1]), float(w[2])))
-    return Model(*both, best[1], best[2])
+    for least in CONTRASTS:
+        both = dictionaries(seen(toxic), seen(ordinary), least)
+        windows, kept = Windows(*both), {}
+        for w in {w for d, _ in rest for w in d}:
+            kept[w] = windows.saved(w)
+        saved = [np.array([kept[w] for w in d]) for d, _ in rest]
+        for threshold in THRESHOLDS:
+            hits = np.array([int((s >= threshold).sum()) for s in saved])
+            w = rising(features(hits, n), y)
+            loss = float(np.logaddexp(0, np.where(y == 1, -1, 1) * (features(hits, n) @ w)).mean())
+            if best is None or loss < best[0]:
+                best = (loss, Model(*both, threshold, (float(w[0]) + shift, float(w[1]), float(w[2]))))
+    return best[1]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, folds: int, held_out: int) -> tuple[list[tuple[str | None, int]], float | None]:
     """(text, label) rows, and the share of label 1 in all that they are taken from: at most SAMPLE_TOXIC and SAMPLE_ORDINARY documents, in order of a hash of the id, none of them held out.
 
-    Labels other than 0 and 1 and null ids are left out; of repeated labels the highest counts.
+    Labels other than 0 and 1 and null ids are left out; of repeated labels the highest counts, and of documents
+    with one id the least text.
     """
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held_out)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -194,15 +207,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, folds: int, held_out: in
         return [], None
     share = known.agg(F.avg("toxic")).first()[0]
     some = spark.createDataFrame([(int(r["doc_id"]), int(r["toxic"])) for r in ids], "doc_id long, toxic int")
-    found = docs.join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic").limit(2 * (SAMPLE_TOXIC + SAMPLE_ORDINARY)).collect()
-    return [(r["text"], r["toxic"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["text"] or ""))], share
+    found = docs.join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    return [(r["text"], r["toxic"]) for r in sorted(found, key=lambda r: r["doc_id"])], share
 
 
 def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, predicted, toxic_windows, windows) for each row, from its whole text alone.
 
-    Null and empty texts have no windows and the least score; without a model every score is 0. Repeated and
-    null ids are kept; other columns play no part.
+    Null and empty texts have no windows, and the highest score that a text without a toxic window can have: the
+    score falls with the number of windows. Without a model, for want of labels of both kinds, every score is 0.
+    Repeated and null ids are kept; other columns play no part.
     """
     packed = pickle.dumps(model)
 

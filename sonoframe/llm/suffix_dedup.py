@@ -1,18 +1,23 @@
-"""Removal of repeated byte strings, by sorting a cover of the corpus's suffixes.
-
-Of every 100 bytes, the cover samples the position whose 32-byte gram has the least hash, so any two equal
-100-byte strings are sampled at the same place: the property that a difference cover has, at 3 % of all positions
-in place of the two thirds that sorted triples of residues take.
-
-1. Samples are dealt by their gram, and sorted. One whose gram occurs nowhere else is in no repeat, as a unique
-   name ends the recursion on names. Samples with equal surroundings (all bytes that a string around them can
-   have) form a class; all of it but its first place repeats.
-2. The first places of grams with several classes are sorted by the suffixes that begin at the samples, which
-   gives names for every length of prefix, and by the reversed prefixes that end there.
-3. A position that isn't sampled is merged by the bytes before its sample and the sample's name: two 100-byte
-   strings are equal if both names are. In each class of equal strings, all but the first are removed.
-
-Grams that are too frequent for one task have their strings dealt one by one instead.
+"""Removal of repeated byte strings, by sorting a difference cover of the corpus's suffixes.
+
+A position is in the cover if its offset in its text, modulo 73, is in a perfect difference set: for any two places
+there is exactly one shift below 73 at which both are covered. So two equal 100-byte strings are covered at a same
+offset, with at least 28 of their bytes from there on.
+
+1. Triples: a covered position's name stands for the triple of 8-byte words there. Names are dealt by value, sorted,
+   and those that occur once leave: their strings can't repeat. Only flags go back, one bit a name.
+2. Recursion on names: a name that is left is extended to the triple of what precedes it, itself and what follows
+   it, 172 bytes in all. Those are all bytes that a 100-byte string around it can have, so no deeper level could tell
+   more. Triples are dealt by the first level's name, sorted and named again: of equal ones all but the first place
+   repeat, and the first places of names with several triples stay open.
+3. Merging: the open places of one name are sorted by the suffixes that begin there and by the reversed prefixes that
+   end there. Bytes in common with the neighbour give names for every length of prefix. A position that isn't covered
+   is merged by the bytes before its covered one and that one's name: two 100-byte strings are equal if both are.
+   In each class of equal strings, all but the first are removed.
+
+Texts are held in slices, each a row of a table in the shared folder. Between slices and names only arrays of small
+numbers are shuffled. Names that many slices have are dealt by their triples; open places that are too many for one
+task have their strings dealt one by one.
 """
 
 from __future__ import annotations
@@ -22,209 +27,307 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sonoframe.llm.common import ROW, numbered, partitions, wrapped, written
-
-LENGTH, GRAM = 100, 32
-#: Grams of a string; a sample has at most BEFORE bytes of a string before it.
-WINDOW = LENGTH - GRAM + 1
-BEFORE = WINDOW - 1
-#: Texts are sampled in pieces of so many bytes, which share LENGTH - 1 bytes.
-PIECE = 1 << 20
-#: Classes of one gram that a task sorts; beyond, strings are dealt by their hash.
+from sonoframe.llm.common import ROW, numbered, partitions, pieces, wrapped, written
+
+LENGTH = 100
+#: The perfect difference set of order 8: each residue but 0 is the difference of exactly one pair.
+MODULUS, COVER = 73, (0, 1, 3, 7, 15, 31, 36, 54, 63)
+#: A covered position has at most BEFORE bytes of a string before it, and LEAST of one from it on.
+BEFORE = MODULUS - 1
+LEAST = LENGTH - BEFORE
+#: Bytes of text in a slice (a longer text is a slice of its own), and for each task that names are dealt to.
+SLICE_BYTES, NAMED_BYTES = 8 << 20, 32 << 20
+#: Names that so many slices have are dealt by their triples.
+HOT_SLICES = 64
+#: Open places of one name that a task sorts; beyond, strings are dealt by their hash.
 GRAM_CLASSES = 20_000
 TASK_CLASSES = 40_000
-#: Documents from which frequent grams are guessed, so that they are dealt evenly; the guess decides nothing else.
-GUESS_DOCUMENTS, GUESS_SHARE = 2000, 0.002
-#: Rows whose samples are combined before they are dealt.
-SAMPLED_ROWS = 1000
-
-PACKED = T.StructType([T.StructField("row", T.LongType()), T.StructField("z", T.BinaryType())])
-SAMPLE = T.StructType([T.StructField("gram", T.LongType()), T.StructField("around", T.LongType()), T.StructField("salt", T.LongType()), T.StructField("row", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("low", T.ShortType()), T.StructField("high", T.ShortType())])
-MARK = T.StructType([T.StructField("row", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("gram", T.LongType())])
-AROUND = T.StructType([T.StructField("gram", T.LongType()), T.StructField("row", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("low", T.ShortType()), T.StructField("bytes", T.BinaryType())])
-SPAN = T.StructType([T.StructField("row", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
-STRING = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("row", T.LongType()), T.StructField("start", T.IntegerType())])
+
+SLICE = T.StructType([T.StructField("slice", T.LongType()), T.StructField("rows", T.ArrayType(T.LongType())), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("z", T.BinaryType())])
+NAMES = T.StructType([T.StructField("slice", T.LongType()), T.StructField("task", T.IntegerType()), T.StructField("low", T.ArrayType(T.IntegerType()))])
+FLAGS = T.StructType([T.StructField("slice", T.LongType()), T.StructField("task", T.IntegerType()), T.StructField("again", T.BinaryType()), T.StructField("hot", T.BinaryType())])
+#: Triples of names: those of hot names come with the whole name, others with what the task leaves open of it.
+TRIPLES = T.StructType(
+    [
+        T.StructField("slice", T.LongType()),
+        T.StructField("task", T.IntegerType()),
+        T.StructField("low", T.ArrayType(T.IntegerType())),
+        T.StructField("whole", T.ArrayType(T.LongType())),
+        T.StructField("around", T.ArrayType(T.LongType())),
+        T.StructField("row", T.ArrayType(T.LongType())),
+        T.StructField("place", T.ArrayType(T.IntegerType())),
+    ]
+)
+#: How open places of one name are solved: in one task, string by string, or by which of both their number calls for.
+LIGHT, HEAVY, SPREAD = 0, 1, 2
+#: Of a slice's covered positions, by number: those that repeat, and the open ones of one kind with their names.
+FOUND = T.StructType([T.StructField("slice", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("again", T.ArrayType(T.IntegerType())), T.StructField("open", T.ArrayType(T.IntegerType())), T.StructField("gram", T.ArrayType(T.LongType()))])
+AROUND = T.StructType([T.StructField("gram", T.LongType()), T.StructField("slice", T.LongType()), T.StructField("row", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("low", T.ShortType()), T.StructField("bytes", T.BinaryType())])
+SPANS = T.StructType([T.StructField("slice", T.LongType()), T.StructField("row", T.ArrayType(T.LongType())), T.StructField("start", T.ArrayType(T.IntegerType())), T.StructField("stop", T.ArrayType(T.IntegerType()))])
+STRING = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("row", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("slice", T.LongType())])
 CLEANED = T.StructType([T.StructField("row", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())])
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the 32 bytes from each position, by doubling."""
-    h, n = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9), 1
-    while n < GRAM:
-        h = h[:-n] * np.uint64(0x94D049BB133111EB) + h[n:]
-        h ^= h >> np.uint64(29)
-        n *= 2
-    h *= np.uint64(0x9FB21C651E98DF25)
-    return h ^ (h >> np.uint64(32))
-
-
-def sampled(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Sampled positions in order and their gram hashes. Every 100 bytes hold one that only those bytes decide."""
-    places, hashes = [], []
-    whole = np.frombuffer(data, dtype=np.uint8)
-    for base in range(0, max(1, len(data) - LENGTH + 1), PIECE - LENGTH + 1):
-        part = whole[base : base + PIECE]
-        if len(part) < LENGTH:
-            break
-        h = gram_hashes(part)
-        # the position breaks ties in favour of the first
-        low = (h & ~np.uint64(PIECE - 1)) | np.arange(len(h), dtype=np.uint64)
-        n = 1
-        while 2 * n <= WINDOW:
-            low, n = np.minimum(low[:-n], low[n:]), 2 * n
-        if n < WINDOW:
-            low = np.minimum(low[: len(low) - (WINDOW - n)], low[WINDOW - n :])
-        at = (low[np.concatenate(([True], low[1:] != low[:-1]))] & np.uint64(PIECE - 1)).astype(np.int64)
-        places.append(at + base)
-        hashes.append(h[at])
-    if not places:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    at, h = np.concatenate(places), np.concatenate(hashes)
-    if len(places) > 1:
-        at, first = np.unique(at, return_index=True)
-        h = h[first]
-    return at, h
-
-
-def packed(rows: DataFrame) -> DataFrame:
-    """(row, z): the text's bytes, compressed for the shuffle."""
+def slices(rows: DataFrame) -> DataFrame:
+    """Texts of (row, text), compressed by slices; in a slice they are in order of row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=1).compress
+        task, made, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def flush() -> pa.RecordBatch:
+            held.sort(key=lambda x: x[0])
+            row, data = zip(*held, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array([task << 32 | made]), pa.array([list(row)], pa.list_(pa.int64())), pa.array([[len(x) for x in data]], pa.list_(pa.int32())), pa.array([squeeze(b"".join(data))], pa.binary())], names=SLICE.fieldNames())
+
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze(x or b"") for x in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["row", "z"])
+            for row, data in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                if held and size + len(data or b"") > SLICE_BYTES:
+                    yield flush()
+                    held, size, made = [], 0, made + 1
+                held.append((row, data or b""))
+                size += len(data or b"")
+        if held:
+            yield flush()
 
-    return rows.select("row", "text").mapInArrow(run, PACKED)
+    return rows.select("row", "text").mapInArrow(run, SLICE)
 
 
-def samples(rows: DataFrame, frequent: tuple[int, ...] = ()) -> DataFrame:
-    """The cover: gram, hash of the surroundings, place, and how many bytes of surroundings lie before and after it.
+class Slice:
+    """A slice's text, the places of its texts, and its covered positions in order of (row, at)."""
 
-    Of samples with equal gram and surroundings in one batch only the first keeps its gram: the others are known to
-    repeat, and come with a null gram. ``salt`` spreads those by row, and samples of ``frequent`` grams by their
-    surroundings.
-    """
-    often = np.array(sorted(frequent), dtype=np.int64)
+    def __init__(self, batch: pa.RecordBatch, i: int):
+        import zstandard
+
+        self.number = batch.column("slice")[i].as_py()
+        self.rows = batch.column("rows")[i].values.to_numpy()
+        self.sizes = batch.column("sizes")[i].values.to_numpy().astype(np.int64)
+        self.text = zstandard.ZstdDecompressor().decompress(batch.column("z")[i].as_buffer())
+        self.begin = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
+
+    def cover(self, places: np.ndarray | None = None) -> None:
+        """Find the covered positions that LENGTH bytes can lie around, or those with the given numbers only."""
+        top = int(self.sizes.max(initial=0))
+        steps = np.add.outer(np.arange(0, top, MODULUS), np.array(COVER)).ravel()
+        counts = np.where(self.sizes >= LENGTH, np.searchsorted(steps, self.sizes - LEAST, side="right"), 0)
+        first = np.cumsum(counts) - counts
+        if places is None:
+            self.doc = np.repeat(np.arange(len(counts)), counts)
+            self.at = steps[np.arange(len(self.doc)) - np.repeat(first, counts)]
+        else:
+            self.doc = np.searchsorted(first + counts, places, side="right")
+            self.at = steps[places - first[self.doc]]
+        self.flat = self.begin[self.doc] + self.at
+        self.low, self.high = np.minimum(self.at, BEFORE), np.minimum(self.sizes[self.doc] - self.at, LENGTH)
+
+    def names(self) -> np.ndarray:
+        """A 64-bit name of the triple of words at each covered position."""
+        if not len(self.flat):
+            return np.zeros(0, dtype=np.uint64)
+        words = np.ndarray((len(self.text) - 7,), dtype="<u8", buffer=self.text, strides=(1,))
+        h = np.full(len(self.flat), 0x9E3779B97F4A7C15, dtype=np.uint64)
+        for k, odd in enumerate((0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9FB21C651E98DF25)):
+            h = (h ^ words[self.flat + 8 * k]) * np.uint64(odd)
+            h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        return h ^ (h >> np.uint64(29))
+
+
+def task_of(hashes: np.ndarray, tasks: int) -> np.ndarray:
+    """The task that a 64-bit hash is dealt to; it grows with the hash."""
+    return (((hashes >> np.uint64(32)) * np.uint64(tasks)) >> np.uint64(32)).astype(np.int32)
+
+
+def parts(key: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of equal neighbours."""
+    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))) if len(key) else np.zeros(1, dtype=np.int64)
+    return zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)
+
+
+def lists(arrays: list[np.ndarray | None], kind: pa.DataType) -> pa.Array:
+    """An Arrow list for each numpy array, null for None."""
+    sizes = [0 if a is None else len(a) for a in arrays]
+    flat = np.concatenate([a for a in arrays if a is not None]) if any(sizes) else np.zeros(0)
+    offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(flat.astype(kind.to_pandas_dtype())), mask=pa.array([a is None for a in arrays]))
+
+
+def table_of(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
+    """Rows whose members are scalars, bytes or numpy arrays."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(schema)
+    columns = [lists(list(c), f.type.value_type) if pa.types.is_list(f.type) else pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
+
+
+def numpy_list(batch: pa.RecordBatch, name: str, i: int) -> np.ndarray | None:
+    value = batch.column(name)[i]
+    return value.values.to_numpy() if value.is_valid else None
+
+
+def slice_names(texts: DataFrame, tasks: int) -> DataFrame:
+    """Each slice's distinct names, dealt by value: in order, without what the task says of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                s = Slice(batch, i)
+                s.cover()
+                names = np.unique(s.names())
+                task = task_of(names, tasks)
+                low = names.astype(np.uint32).view(np.int32)
+                rows = [(s.number, int(task[a]), low[a:b]) for a, b in parts(task)]
+                if rows:
+                    yield table_of(rows, NAMES)
+
+    return texts.mapInArrow(run, NAMES)
+
+
+def repeated_names(names: DataFrame, tasks: int) -> DataFrame:
+    """Bits for a slice's names in one task: whether another slice has the name too, and whether HOT_SLICES have it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, task, low = [], [], []
+        for batch in batches:
+            keys += batch.column("slice").to_pylist()
+            task += batch.column("task").to_pylist()
+            low += [numpy_list(batch, "low", i) for i in range(batch.num_rows)]
+        if not keys:
+            return
+        sizes = np.array([len(x) for x in low])
+        name = np.repeat(np.array(task, dtype=np.int64), sizes) << 32 | np.concatenate(low).view(np.uint32).astype(np.int64)
+        order = np.argsort(name, kind="stable")
+        ordered = name[order]
+        new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+        count = np.diff(np.append(np.flatnonzero(new), len(ordered)))[np.cumsum(new) - 1]
+        again, hot = np.zeros(len(name), dtype=bool), np.zeros(len(name), dtype=bool)
+        again[order], hot[order] = count > 1, count >= HOT_SLICES
+        end = np.cumsum(sizes)
+        rows = [(k, t, np.packbits(again[b - n : b]).tobytes(), np.packbits(hot[b - n : b]).tobytes()) for k, t, n, b in zip(keys, task, sizes.tolist(), end.tolist(), strict=True) if again[b - n : b].any()]
+        if rows:
+            yield table_of(rows, FLAGS)
+
+    return names.repartitionById(tasks, "task").mapInArrow(run, FLAGS)
+
+
+def triples(texts: DataFrame, flags: DataFrame, tasks: int) -> DataFrame:
+    """Triples of the names that are left. Of equal ones in a slice only the first is dealt to a task; the others repeat, and come with a null task."""
+    flagged = flags.groupBy("slice").agg(F.collect_list(F.struct("task", "again", "hot")).alias("flags"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            for begin in range(0, batch.num_rows, SAMPLED_ROWS):
-                ids = batch.column(0).slice(begin, SAMPLED_ROWS).to_numpy(zero_copy_only=False)
-                parts = []
-                for row, data in zip(ids.tolist(), batch.column(1).slice(begin, SAMPLED_ROWS).cast(pa.binary()).to_pylist(), strict=True):
-                    if data is None or len(data) < LENGTH:
-                        continue
-                    at, h = sampled(data)
-                    low, high = np.minimum(at, BEFORE), np.minimum(len(data) - at, LENGTH)
-                    around = np.array([xxh64_intdigest(data[a:b], s) for a, b, s in zip((at - low).tolist(), (at + high).tolist(), low.tolist(), strict=True)], dtype=np.uint64)
-                    parts.append((h.view(np.int64), around.view(np.int64), np.full(len(at), row), at.astype(np.int32), low.astype(np.int16), high.astype(np.int16)))
-                if parts:
-                    gram, around, row, at, low, high = (np.concatenate(c) for c in zip(*parts, strict=True))
-                    # repeats among these rows need no class any more: all but the first are known to repeat
-                    order = np.lexsort((at, row, around, gram))
-                    g, a = gram[order], around[order]
-                    again = np.zeros(len(order), dtype=bool)
-                    again[order[1:]] = (g[1:] == g[:-1]) & (a[1:] == a[:-1])
-                    salt = np.where(again, row, np.where(np.isin(gram, often), around, 0))
-                    keep = ~again | (low.astype(np.int32) + high >= LENGTH)
-                    yield pa.RecordBatch.from_arrays([pa.array(gram[keep], mask=again[keep]), *[pa.array(c[keep]) for c in (around, salt, row, at, low, high)]], names=SAMPLE.fieldNames())
-
-    return rows.select("row", "text").mapInArrow(run, SAMPLE)
-
-
-def frequent_grams(rows: DataFrame) -> tuple[int, ...]:
-    """Grams of a large share of the samples of a few documents: at most 1 / GUESS_SHARE of them."""
-    some = rows.select("row", "text").where(F.pmod(F.xxhash64("row"), F.lit(64)) == 0).limit(GUESS_DOCUMENTS)
-    counts = samples(some).where("gram IS NOT NULL").groupBy("gram").agg(F.count("*").alias("n"))
-    top = counts.orderBy(F.desc("n"), "gram").limit(int(1 / GUESS_SHARE)).collect()
-    total = sum(r["n"] for r in top)
-    return tuple(r["gram"] for r in top if r["n"] > 8 and r["n"] > GUESS_SHARE * total)
-
-
-def sorted_classes(found: DataFrame, tasks: int, frequent: tuple[int, ...]) -> DataFrame:
-    """Marks: spans of samples that aren't first in their class (gram null), and the first places of grams with several classes (start is the place)."""
-    dealt = found.repartition(tasks, "gram", "salt").sortWithinPartitions("gram", "around", "row", "at")
-    often = np.array(sorted(frequent), dtype=np.int64)
+            for i in range(batch.num_rows):
+                s = Slice(batch, i)
+                s.cover()
+                h = s.names()
+                names, which, count = np.unique(h, return_inverse=True, return_counts=True)
+                again, hot = count > 1, np.zeros(len(names), dtype=bool)
+                task = task_of(names, tasks)
+                ranges = {int(task[a]): (a, b) for a, b in parts(task)}
+                for f in batch.column("flags")[i].as_py() or ():
+                    a, b = ranges[f["task"]]
+                    again[a:b] |= np.unpackbits(np.frombuffer(f["again"], dtype=np.uint8), count=b - a).astype(bool)
+                    hot[a:b] |= np.unpackbits(np.frombuffer(f["hot"], dtype=np.uint8), count=b - a).astype(bool)
+                left = np.flatnonzero(again[which])
+                if not len(left):
+                    continue
+                at, low, high = s.flat[left], s.low[left], s.high[left]
+                around = np.array([xxh64_intdigest(s.text[a:b], k) for a, b, k in zip((at - low).tolist(), (at + high).tolist(), low.tolist(), strict=True)], dtype=np.uint64)
+                # of equal triples the first place goes on; places are in order already
+                order = np.lexsort((around, h[left]))
+                g, w = h[left][order], around[order]
+                same = np.concatenate(([False], (g[1:] == g[:-1]) & (w[1:] == w[:-1])))
+                rows = [(s.number, None, None, None, None, None, np.sort(left[order[same]]))] if same.any() else []
+                first = np.sort(order[~same])
+                left, around, crowded = left[first], around[first], hot[which[left[first]]]
+                row = s.rows[s.doc[left]]
+                for kind in (False, True):
+                    some = np.flatnonzero(crowded == kind)
+                    task = task_of(around[some] if kind else h[left[some]], tasks)
+                    dealt = some[np.argsort(task, kind="stable")]
+                    task.sort()
+                    for a, b in parts(task):
+                        mine = dealt[a:b]
+                        name = h[left[mine]]
+                        rows.append((s.number, int(task[a]), None if kind else name.astype(np.uint32).view(np.int32), name.view(np.int64) if kind else None, around[mine].view(np.int64), np.diff(row[mine], prepend=0), left[mine]))
+                yield table_of(rows, TRIPLES)
+
+    return texts.join(flagged, "slice", "left").select("slice", "rows", "sizes", "z", "flags").mapInArrow(run, TRIPLES)
+
+
+def sorted_triples(dealt: DataFrame, tasks: int) -> DataFrame:
+    """Repeats and open places, by slice and kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the last class so far: its gram and surroundings, and its first place while that may be alone
-        last, alone = None, None
+        held = []
         for batch in batches:
-            known = batch.column("gram").null_count
-            if known:
-                # nulls come first
-                row, at, low, high = (batch.column(n).slice(0, known).to_numpy() for n in ("row", "at", "low", "high"))
-                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(at - low), pa.array(at + high), pa.nulls(known, pa.int64())], names=MARK.fieldNames())
-                batch = batch.slice(known)
-            gram, around, row, at, low, high = (batch.column(n).to_numpy() for n in ("gram", "around", "row", "at", "low", "high"))
-            n = len(gram)
-            if not n:
-                continue
-            new_gram = np.concatenate(([last is None or last[0] != gram[0]], gram[1:] != gram[:-1]))
-            new_class = new_gram | np.concatenate(([last is None or last[1] != around[0]], around[1:] != around[:-1]))
-            out = []
-            again = ~new_class & (low.astype(np.int64) + high >= LENGTH)
-            if again.any():
-                out.append((row[again], (at - low)[again], (at + high)[again], np.zeros(int(again.sum()), dtype=np.int64), np.ones(int(again.sum()), dtype=bool)))
-            first = np.flatnonzero(new_class)
-            # a class's first place counts if another class has its gram
-            if len(first):
-                starts = new_gram[first]
-                follows = np.append(~starts[1:], False)
-                several = ~starts | follows
-                if not starts[0] and alone is not None:
-                    out.append(tuple(np.array([x]) for x in alone) + (np.array([False]),))
-                    alone = None
-                held = not several[-1]
-                often_here = np.isin(gram[first], often)
-                take = several | often_here
-                some = first[take]
-                out.append((row[some], at[some], at[some], gram[some], np.zeros(len(some), dtype=bool)))
-                if starts.any() or not held:
-                    k = first[-1]
-                    alone = (row[k], at[k], at[k], gram[k]) if held and not often_here[-1] else None
-            last = (gram[-1], around[-1])
-            if out:
-                row_, start, stop, gram_, whole = (np.concatenate(c) for c in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(row_.astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(gram_.astype(np.int64), mask=whole)], names=MARK.fieldNames())
-
-    return dealt.mapInArrow(run, MARK)
-
-
-def unpack(blobs: list[bytes]) -> list[bytes]:
-    import zstandard
-
-    expand = zstandard.ZstdDecompressor().decompress
-    return [expand(b) for b in blobs]
-
-
-def surroundings(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes around each wanted (row, at, gram)."""
-    lists = wanted.groupBy("row").agg(F.collect_list(F.struct("at", "gram")).alias("list"))
+            for i in range(batch.num_rows):
+                row, place = np.cumsum(numpy_list(batch, "row", i)), numpy_list(batch, "place", i)
+                low, whole = numpy_list(batch, "low", i), numpy_list(batch, "whole", i)
+                # whole names are told from the others by their sign
+                gram = (np.int64(batch.column("task")[i].as_py()) << 32 | low.view(np.uint32).astype(np.int64)) if whole is None else whole | np.int64(-1 << 63)
+                held.append((np.full(len(place), batch.column("slice")[i].as_py()), gram, numpy_list(batch, "around", i), row, place))
+        if not held:
+            return
+        number, gram, around, row, place = (np.concatenate(c) for c in zip(*held, strict=True))
+        del held
+        order = np.argsort(gram, kind="stable")
+        g = gram[order]
+        like = g[1:] == g[:-1]
+        several = (np.append(like, False) | np.append(False, like)) | (g < 0)
+        order = order[several]
+        order = order[np.lexsort((place[order], row[order], around[order], gram[order]))]
+        number, gram, around, row, place = (c[order] for c in (number, gram, around, row, place))
+        if not len(gram):
+            return
+        new_gram = np.append(True, gram[1:] != gram[:-1])
+        new = new_gram | np.append(True, around[1:] != around[:-1])
+        # a name of one triple has no open place, unless its other triples may be elsewhere
+        classes = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_gram))[np.cumsum(new_gram) - 1]
+        free = new & ((classes > 1) | (gram < 0))
+        kind = np.where(gram < 0, SPREAD, np.where(classes > GRAM_CLASSES, HEAVY, LIGHT))
+        rows = []
+        for wanted in (LIGHT, HEAVY, SPREAD):
+            kept = np.flatnonzero((free | ~new) & (kind == wanted))
+            kept = kept[np.argsort(number[kept], kind="stable")]
+            for a, b in parts(number[kept]):
+                mine = kept[a:b]
+                is_open = mine[free[mine]]
+                rows.append((int(number[mine[0]]), wanted, place[mine[~free[mine]]], place[is_open], gram[is_open]))
+        if rows:
+            yield table_of(rows, FOUND)
+
+    known = dealt.where("task IS NULL").select("slice", F.lit(LIGHT).alias("kind"), F.col("place").alias("again"), F.array().cast("array<int>").alias("open"), F.array().cast("array<bigint>").alias("gram"))
+    return dealt.where("task IS NOT NULL").repartitionById(tasks, "task").mapInArrow(run, FOUND).union(known)
+
+
+def surroundings(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """The bytes around each open place of (slice, open, gram)."""
+    wanted = places.groupBy("slice").agg(F.flatten(F.collect_list("open")).alias("open"), F.flatten(F.collect_list("gram")).alias("gram"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
-                rows, lists, datas = part.column("row").to_pylist(), part.column("list"), unpack(part.column("z").to_pylist())
-                sizes = lists.value_lengths().to_numpy()
-                flat = lists.flatten()
-                at, gram = flat.field("at").to_numpy(), flat.field("gram")
-                low = np.minimum(at, BEFORE)
-                row = np.repeat(np.array(rows, dtype=np.int64), sizes)
-                doc = np.repeat(np.arange(len(rows)), sizes).tolist()
-                cut = [datas[d][a:b] for d, a, b in zip(doc, (at - low).tolist(), (at + LENGTH).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([gram, pa.array(row), pa.array(at), pa.array(low.astype(np.int16)), pa.array(cut, pa.binary())], names=AROUND.fieldNames())
+            for i in range(batch.num_rows):
+                s = Slice(batch, i)
+                s.cover(numpy_list(batch, "open", i))
+                gram, low, row, at = numpy_list(batch, "gram", i), s.low.astype(np.int16), s.rows[s.doc], s.at.astype(np.int32)
+                a, b = s.flat - s.low, s.flat + s.high
+                for k in range(0, len(gram), 20_000):
+                    to = slice(k, k + 20_000)
+                    cut = [s.text[x:y] for x, y in zip(a[to].tolist(), b[to].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(gram[to]), pa.array(np.full(len(cut), s.number)), pa.array(row[to]), pa.array(at[to]), pa.array(low[to]), pa.array(cut, pa.binary())], names=AROUND.fieldNames())
 
-    return texts.join(lists, "row").select("row", "z", "list").mapInArrow(run, AROUND)
+    return texts.join(wanted, "slice").select("slice", "rows", "sizes", "z", "open", "gram").mapInArrow(run, AROUND)
 
 
 def padded_rows(parts: list[bytes], width: int) -> np.ndarray:
@@ -249,13 +352,13 @@ def prefix_names(rows: np.ndarray, lengths: np.ndarray, top: np.ndarray | None =
 
 
 def merge_group(gram: np.ndarray, row: np.ndarray, at: np.ndarray, low: np.ndarray, around: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans (row, start, stop) of the strings around these samples that have an equal string at an earlier place here.
+    """Spans (which, start, stop) of the strings around these places that have an equal string at an earlier place here.
 
-    Samples come with their whole surroundings, and all classes of a gram are among them.
+    Places come with their whole surroundings, and all open ones of a name are among them.
     """
     n = len(row)
     if n < 2:
-        return row[:0], at[:0], at[:0]
+        return np.zeros(0, dtype=np.int64), at[:0], at[:0]
     # earlier places have smaller numbers
     place = np.lexsort((at, row))
     gram, row, at, low = gram[place], row[place], at[place], low[place].astype(np.int64)
@@ -281,103 +384,121 @@ def merge_group(gram: np.ndarray, row: np.ndarray, at: np.ndarray, low: np.ndarr
     edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     who, a = np.nonzero(edge == 1)
     b = np.nonzero(edge == -1)[1] - 1
-    return row[who], at[who] - b, at[who] - a + LENGTH
+    return place[who], at[who] - b, at[who] - a + LENGTH
 
 
 def merged(around: DataFrame, tasks: int) -> DataFrame:
+    """Spans of the strings around open places that repeat, by slice."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         count = 0
 
-        def solve(table: pa.Table) -> pa.RecordBatch:
+        def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
             got = [table.column(n).to_numpy() for n in ("gram", "row", "at", "low")]
-            row, start, stop = merge_group(*got, table.column("bytes").to_pylist())
-            return pa.RecordBatch.from_arrays([pa.array(row), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], names=SPAN.fieldNames())
+            which, start, stop = merge_group(*got, table.column("bytes").to_pylist())
+            number, row = table.column("slice").to_numpy()[which], got[1][which]
+            order = np.argsort(number, kind="stable")
+            number, row, start, stop = (c[order] for c in (number, row, start, stop))
+            rows = [(int(number[a]), row[a:b], start[a:b], stop[a:b]) for a, b in parts(number)]
+            if rows:
+                yield table_of(rows, SPANS)
 
         for batch in batches:
             held.append(batch)
             count += batch.num_rows
             if count >= TASK_CLASSES:
-                # whole grams only: the last one may go on
+                # whole names only: the last one may go on
                 table = pa.Table.from_batches(held)
                 gram = table.column("gram").to_numpy()
                 cut = int(np.flatnonzero(gram == gram[-1])[0])
                 if cut:
-                    yield solve(table.slice(0, cut))
+                    yield from solve(table.slice(0, cut))
                 held = table.slice(cut).combine_chunks().to_batches()
                 count = sum(b.num_rows for b in held)
         if held:
-            yield solve(pa.Table.from_batches(held))
+            yield from solve(pa.Table.from_batches(held))
 
-    return around.repartition(tasks, "gram").sortWithinPartitions("gram").mapInArrow(run, SPAN)
+    return around.repartition(tasks, "gram").sortWithinPartitions("gram").mapInArrow(run, SPANS)
 
 
 def dealt_strings(around: DataFrame) -> DataFrame:
     """Spans of repeated strings, each string dealt by its own hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 2000):
-                part = batch.slice(begin, 2000)
-                row, start, keys = [], [], []
-                for r, at, low, data in zip(*(part.column(n).to_pylist() for n in ("row", "at", "low", "bytes")), strict=True):
-                    for i in range(len(data) - LENGTH + 1):
-                        keys.append(hashlib.blake2b(data[i : i + LENGTH], digest_size=16).digest())
-                        row.append(r)
-                        start.append(at - low + i)
-                key = np.frombuffer(b"".join(keys), dtype=np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(row, pa.int64()), pa.array(start, pa.int32())], names=STRING.fieldNames())
+        for part in pieces(batches, 2000):
+            row, start, keys, number = [], [], [], []
+            for r, at, low, data, k in zip(*(part.column(n).to_pylist() for n in ("row", "at", "low", "bytes", "slice")), strict=True):
+                for i in range(len(data) - LENGTH + 1):
+                    keys.append(hashlib.blake2b(data[i : i + LENGTH], digest_size=16).digest())
+                    row.append(r)
+                    start.append(at - low + i)
+                    number.append(k)
+            key = np.frombuffer(b"".join(keys), dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(row, pa.int64()), pa.array(start, pa.int32()), pa.array(number, pa.int64())], names=STRING.fieldNames())
 
     strings = around.mapInArrow(run, STRING)
     first = strings.groupBy("k1", "k2").agg(F.min(F.struct("row", "start")).alias("first"))
     late = strings.join(first.hint("merge"), ["k1", "k2"]).where(F.struct("row", "start") != F.col("first"))
-    return late.select("row", "start", (F.col("start") + LENGTH).cast("int").alias("stop"))
-
-
-def repeated_spans(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """(row, start, stop) spans whose union is all bytes that a repeat covers."""
-    spark = rows.sparkSession
-    frequent = frequent_grams(rows)
-    marks = written(sorted_classes(samples(rows, frequent), 2 * partitions(spark), frequent), "marks")
-    whole = marks.where("gram IS NULL").select("row", "start", "stop")
-    open_places = marks.where("gram IS NOT NULL").select("row", F.col("start").alias("at"), "gram").distinct() if frequent else marks.where("gram IS NOT NULL").select("row", F.col("start").alias("at"), "gram")
-    heavy = written(open_places.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > GRAM_CLASSES).select("gram"), "heavy")
-    crowded = not heavy.isEmpty()
-    light = open_places.join(heavy, "gram", "left_anti") if crowded else open_places
-    tasks = max(partitions(spark), light.count() // TASK_CLASSES + 1)
-    spans = whole.union(written(merged(surroundings(texts, light), tasks), "merged"))
-    if crowded:
-        spans = spans.union(dealt_strings(written(surroundings(texts, open_places.join(heavy, "gram", "left_semi")), "around")))
-    return spans
-
-
-def cleaned(texts: DataFrame, spans: DataFrame) -> DataFrame:
-    """(row, n_bytes, n_removed, n_spans, kept): each text without the union of its spans."""
-    lists = spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("list"))
+    return late.select("slice", F.array("row").alias("row"), F.array("start").alias("start"), F.array((F.col("start") + LENGTH).cast("int")).alias("stop"))
+
+
+def repeats(texts: DataFrame, n_bytes: int) -> DataFrame:
+    """Of each slice, the covered positions that repeat (``again``) and spans of other repeated strings: the union of all is what goes."""
+    spark = texts.sparkSession
+    tasks = max(2 * partitions(spark), n_bytes // NAMED_BYTES + 1)
+    flags = written(repeated_names(slice_names(texts, tasks), tasks), "names")
+    found = written(sorted_triples(triples(texts, flags, tasks), tasks), "triples")
+    light = found.where(F.col("kind") == LIGHT).select("slice", "open", "gram")
+    heavy = found.where(F.col("kind") == HEAVY).select("slice", "open", "gram")
+    spread = found.where((F.col("kind") == SPREAD) & (F.size("open") > 0)).select("slice", F.explode(F.arrays_zip("open", "gram")).alias("p")).select("slice", F.array("p.open").alias("open"), F.array("p.gram").alias("gram"), F.col("p.gram").alias("name"))
+    if not spread.isEmpty():
+        counts = written(spread.groupBy("name").agg(F.count("*").alias("n")), "counts")
+        sized = spread.join(counts.hint("merge"), "name")
+        light = light.union(sized.where(F.col("n") <= GRAM_CLASSES).select("slice", "open", "gram"))
+        heavy = heavy.union(sized.where(F.col("n") > GRAM_CLASSES).select("slice", "open", "gram"))
+    n_open = light.agg(F.sum(F.size("open"))).first()[0] or 0
+    spans = written(merged(surroundings(texts, light), max(partitions(spark), n_open // TASK_CLASSES + 1)), "merged")
+    if not heavy.where(F.size("open") > 0).isEmpty():
+        spans = spans.union(dealt_strings(written(surroundings(texts, heavy), "around")))
+    return found.where(F.size("again") > 0).select("slice", "again").unionByName(spans, allowMissingColumns=True)
+
+
+def cleaned(texts: DataFrame, gone: DataFrame) -> DataFrame:
+    """(row, n_bytes, n_removed, n_spans, kept): each text without what goes."""
+    gathered = gone.groupBy("slice").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("again", "row", "start", "stop")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
-                datas = unpack(part.column("z").to_pylist())
-                out = []
-                lists = part.column("list")
-                for i, data in enumerate(datas):
-                    got = lists[i]
-                    if not got.is_valid:
-                        out.append((len(data), 0, 0, data))
-                        continue
-                    start, stop = got.values.field("start").to_numpy(), got.values.field("stop").to_numpy()
-                    change = np.zeros(len(data) + 1, dtype=np.int32)
-                    np.add.at(change, start, 1)
-                    np.add.at(change, stop, -1)
-                    gone = np.cumsum(change[:-1]) > 0
-                    runs = int(np.count_nonzero(gone & ~np.concatenate(([False], gone[:-1]))))
-                    out.append((len(data), int(gone.sum()), runs, np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()))
-                n, removed, runs, kept = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], names=CLEANED.fieldNames())
-
-    return texts.join(lists.hint("merge"), "row", "left").select("row", "z", "list").mapInArrow(run, CLEANED)
+            for i in range(batch.num_rows):
+                s = Slice(batch, i)
+                again = numpy_list(batch, "again", i)
+                removed = runs = np.zeros(len(s.rows), dtype=np.int64)
+                kept = [s.text[a : a + n] for a, n in zip(s.begin.tolist(), s.sizes.tolist(), strict=True)]
+                if again is not None:
+                    s.cover(again)
+                    row, start, stop = (numpy_list(batch, n, i) for n in ("row", "start", "stop"))
+                    begin = s.begin[np.searchsorted(s.rows, row)]
+                    change = np.zeros(len(s.text) + 1, dtype=np.int32)
+                    for at, by in ((s.flat - s.low, 1), (s.flat + s.high, -1), (begin + start, 1), (begin + stop, -1)):
+                        np.add.at(change, at, by)
+                    cut = np.cumsum(change[:-1]) > 0
+                    before = np.concatenate(([0], np.cumsum(cut)))
+                    head = cut & ~np.concatenate(([False], cut[:-1]))
+                    some = np.minimum(s.begin, max(0, len(cut) - 1))
+                    head[some[s.sizes > 0]] = cut[some[s.sizes > 0]]
+                    heads = np.concatenate(([0], np.cumsum(head)))
+                    end = s.begin + s.sizes
+                    removed, runs = before[end] - before[s.begin], heads[end] - heads[s.begin]
+                    text = np.frombuffer(s.text, dtype=np.uint8)
+                    for d in np.flatnonzero(removed).tolist():
+                        a, b = int(s.begin[d]), int(end[d])
+                        kept[d] = text[a:b][~cut[a:b]].tobytes()
+                for a in range(0, len(kept), 2000):
+                    to = slice(a, a + 2000)
+                    yield pa.RecordBatch.from_arrays([pa.array(s.rows[to]), pa.array(s.sizes[to]), pa.array(removed[to]), pa.array(runs[to]), pa.array(kept[to], pa.binary())], names=CLEANED.fieldNames())
+
+    return texts.join(gathered, "slice", "left").mapInArrow(run, CLEANED)
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -390,8 +511,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     rows, by_id = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     rows = rows.withColumnRenamed(ROW, "row")
-    texts = packed(rows)
-    out = cleaned(texts, repeated_spans(rows, texts))
+    texts = written(slices(rows), "slices")
+    n_bytes = texts.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    out = cleaned(texts, repeats(texts, n_bytes))
     if by_id:
         return out.withColumnRenamed("row", "doc_id")
     return out.join(rows.select("row", "doc_id").hint("merge"), "row").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept")

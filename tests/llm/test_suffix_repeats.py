@@ -44,18 +44,20 @@ def test_grams_too_frequent_for_a_task(spark, monkeypatch, classes):
     check(spark, planted())
 
 
-def test_pieces_and_guessed_grams(spark, monkeypatch):
-    """Texts longer than a piece, and grams that are dealt by their surroundings."""
-    monkeypatch.setattr(suffix_dedup, "PIECE", 1 << 9)
-    guess = suffix_dedup.frequent_grams
-    found = []
+@pytest.mark.parametrize("hot, classes", [(1000, 20_000), (2, 20_000), (2, 3)])
+def test_small_slices_and_hot_names(spark, monkeypatch, hot, classes):
+    """Texts longer than a slice, and names that are dealt by their triples."""
+    monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 1 << 10)
+    monkeypatch.setattr(suffix_dedup, "HOT_SLICES", hot)
+    monkeypatch.setattr(suffix_dedup, "GRAM_CLASSES", classes)
+    check(spark, planted())
 
-    def everything(rows):
-        found.append(guess(rows))
-        return tuple(r["gram"] for r in suffix_dedup.samples(rows).where("gram IS NOT NULL").groupBy("gram").count().where("count > 3").collect())
 
-    monkeypatch.setattr(suffix_dedup, "frequent_grams", everything)
-    check(spark, planted())
+def test_the_cover_meets_every_pair_of_places():
+    for i in range(suffix_dedup.MODULUS):
+        for j in range(i):
+            shifts = [k for k in range(suffix_dedup.MODULUS) if (i + k) % suffix_dedup.MODULUS in suffix_dedup.COVER and (j + k) % suffix_dedup.MODULUS in suffix_dedup.COVER]
+            assert len(shifts) == 1
 
 
 def test_corpus(spark, sf):

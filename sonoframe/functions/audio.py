@@ -6,7 +6,7 @@ import struct
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -150,6 +150,34 @@ def float_to_pcm16(x: Column) -> Column:
     return F.when(s < 0, s * 32768).otherwise(s * 32767).cast("int")
 
 
+def native_vad_input(x: Column) -> Column:
+    """A sample as a 16-bit integer for a native detector: clipped, scaled by 32,767 either way and cut, not rounded."""
+    return (F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)) * 32767).cast("int")
+
+
+def probability(value: Column) -> Column:
+    """A detector's answer as a number in 0..1; nothing, or what isn't a number, is 0. Of a list, pass the first element."""
+    number = value.try_cast("double")
+    return F.when(number.isNull() | F.isnan(number), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), number)))
+
+
+def whole_hops(chunks: DataFrame, session: str, order: list[str], n_samples: Column, hop: int) -> DataFrame:
+    """``chunks`` with ``first_hop`` and ``n_hops``, the hops that each completes, and ``carry``, the samples that it leaves for the next.
+
+    Samples are counted over the session, so a hop may begin in one chunk and end in another.
+    """
+    w = Window.partitionBy(session).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    df = chunks.withColumn("_n", n_samples.cast("long")).withColumn("_end", F.sum("_n").over(w))
+    first, last = F.floor((F.col("_end") - F.col("_n")) / hop), F.floor(F.col("_end") / hop)
+    return df.withColumns({"first_hop": first, "n_hops": last - first, "carry": F.col("_end") % hop}).drop("_n", "_end")
+
+
+def joined_pcm(frames: DataFrame, by: list[str], order: list[str], pcm: str = "pcm") -> DataFrame:
+    """(by, pcm, n_frames): each group's samples in order, as one clip. A clip is one row, so groups are utterances or segments."""
+    held = F.array_sort(F.collect_list(F.struct(*order, pcm)))
+    return frames.where(F.col(pcm).isNotNull()).groupBy(*by).agg(held.alias("_f")).select(*by, F.aggregate("_f", F.lit(b""), lambda a, x: F.concat(a, x[pcm])).alias("pcm"), F.size("_f").alias("n_frames"))
+
+
 def rms(values: Column) -> Column:
     """Root mean square of an array."""
     return F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")) / F.size(values))

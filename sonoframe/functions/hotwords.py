@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sonoframe.functions.text import normalize, strip
+from sonoframe.functions.text import let, normalize, strip
 
 #: Extracted hotwords are shorter than this, in code points.
 EXTRACTED_LENGTH = 10
@@ -30,8 +30,7 @@ def normalized(words: Column) -> Column:
 
 def keep_reported(reported: Column, known: Column) -> Column:
     """Reported words whose normal form is a known word's, in order and with repeats."""
-    forms = normalized(known)
-    return F.filter(F.coalesce(reported, empty()), lambda w: F.array_contains(forms, normalize(w, unicode_form=False)))
+    return let(normalized(known), lambda forms: F.filter(F.coalesce(reported, empty()), lambda w: F.array_contains(forms, normalize(w, unicode_form=False))))
 
 
 def merge(now: Column, new: Column) -> Column:
@@ -45,11 +44,24 @@ def short_enough(words: Column) -> Column:
     return F.filter(words, lambda w: F.char_length(w) < EXTRACTED_LENGTH)
 
 
+def read_bucket(stored: Column) -> Column:
+    """A language's stored hotwords: a JSON list of strings; nothing, or anything else, gives an empty list."""
+    return F.coalesce(F.from_json(stored, "array<string>"), empty())
+
+
+def write_bucket(words: Column) -> Column:
+    return F.to_json(F.coalesce(words, empty()))
+
+
+#: Words for nothing.
+NOTHING = ("", "n/a", "na", "none", "null", "-")
+
+
 def parse_list(value: Column) -> Column:
     """A field of words between commas or semicolons, of either width; words for nothing give an empty list."""
     text = strip(F.coalesce(value, F.lit("")))
     words = F.filter(F.transform(F.split(text, "[,，;；]"), strip), lambda w: w != "")
-    return F.when(F.lower(text).isin("", "n/a", "na", "none", "null", "-"), empty()).otherwise(words)
+    return F.when(F.lower(text).isin(*NOTHING), empty()).otherwise(words)
 
 
 def parse_csv(value: Column) -> Column:

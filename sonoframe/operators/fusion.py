@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonoframe.functions import hotwords as hw
-from sonoframe.functions.text import normalize, quality, sequence_ratio, text_or_empty
+from sonoframe.functions.text import normalize, quality, sequence_ratio, strip, text_or_empty
 from sonoframe.params import Params
 
 
@@ -40,7 +40,7 @@ def decide(pairs: DataFrame, params: Params = Params(), *, hotwords: Column | No
     q1, q2, sim = F.col("_q1"), F.col("_q2"), F.col("_sim")
     first, second = F.col("primary_text"), F.col("secondary_text")
     fair = q1["score"] >= p.min_primary_score
-    # in order; the first that holds decides
+    # fixed values: choices and reasons; in order, the first that holds decides
     rules = [
         (second == "", "silence", "secondary_empty_force_silence", F.lit("")),
         (first == "", "secondary_only", "primary_empty", second),
@@ -79,3 +79,15 @@ def final_text(pairs: DataFrame, params: Params = Params(), **how) -> DataFrame:
 
 def detected_or(detected: Column, requested: Column) -> Column:
     return F.coalesce(F.nullif(detected, F.lit("")), requested)
+
+
+def partial_text(pairs: DataFrame, params: Params = Params(), **how) -> DataFrame:
+    """``pairs`` with ``final``, where the secondary model heard anything and a text is chosen: what a partial shows."""
+    heard_any = pairs.where(F.trim(text_or_empty("secondary_text")) != "")
+    return final_text(heard_any, params, **how).where(F.trim("final") != "")
+
+
+def primary_partial(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with ``final``: the primary text alone, where both models heard anything."""
+    text = strip(text_or_empty("primary_text"))
+    return pairs.where((strip(text_or_empty("secondary_text")) != "") & (text != "")).withColumn("final", text)

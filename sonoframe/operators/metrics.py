@@ -6,15 +6,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def counts(requests: DataFrame, by: list[str], ok: Column) -> DataFrame:
+    n_ok = F.count_if(ok)
+    return requests.groupBy(*by).agg(F.count("*").alias("n_total"), n_ok.alias("n_ok"), (F.count("*") - n_ok).alias("n_err"))
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """(by, names): exact quantiles of each group, between neighbours by straight lines; null values don't count.
+
+    Values are counted first, one row for each distinct one, and those are dealt by ranges of (group, value): no task
+    holds a group. A group's count before each of the few ranges it spreads over says where a quantile lies.
+    """
+    distinct = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    dealt = distinct.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id())
+    within = Window.partitionBy("_part", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    parts = dealt.groupBy("_part", *by).agg(F.sum("_n").alias("_n"))
+    whole = Window.partitionBy(*by)
+    known = parts.withColumns({"_base": F.coalesce(F.sum("_n").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_all": F.sum("_n").over(whole)}).drop("_n")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("_part", *by)]
+    running = dealt.withColumn("_upto", F.sum("_n").over(within)).alias("a").join(known.alias("b"), same).select(*[F.col(f"a.{c}").alias(c) for c in by], F.col(f"a.{value}").alias("_v"), F.col("a._n").alias("_n"), (F.col("_base") + F.col("_upto")).alias("_end"), "_all")
+    covers = lambda place: (place < F.col("_end")) & (place >= F.col("_end") - F.col("_n"))
+    found = []
+    for name, q in at.items():
+        place = F.lit(q) * (F.col("_all") - 1)
+        low = F.floor(place)
+        ends = {"l": low, "h": F.least(low + 1, F.col("_all") - 1)}
+        found += [F.max(F.when(covers(x), F.col("_v"))).alias(f"_{name}_{k}") for k, x in ends.items()] + [F.max(place - low).alias(f"_{name}_w")]
+    got = running.groupBy(*by).agg(*found)
+    return got.select(*by, *[(F.col(f"_{n}_l") + (F.col(f"_{n}_h") - F.col(f"_{n}_l")) * F.col(f"_{n}_w")).alias(n) for n in at])
+
+
 def level_stats(requests: DataFrame, by: list[str], *, ok: Column, latency: Column, audio_sec: Column, tokens: Column, wall_sec: Column) -> DataFrame:
     """One row a level; latencies are those of good requests, percentiles interpolate, and a level without one has nulls."""
-    good = F.when(ok, latency)
-    at = lambda q: F.percentile(good, F.lit(q))
+    df = requests.withColumn("_good", F.when(ok, latency))
     n_ok, wall, audio = F.count_if(ok), F.max(wall_sec), F.max(audio_sec)
-    return requests.groupBy(*by).agg(
-        F.count("*").alias("n_total"), n_ok.alias("n_ok"), (F.count("*") - n_ok).alias("n_err"), at(0.5).alias("lat_p50"), at(0.9).alias("lat_p90"), at(0.99).alias("lat_p99"), F.avg(good).alias("lat_mean"),
-        (at(0.5) / audio).alias("rtf_p50"), (at(0.9) / audio).alias("rtf_p90"), (n_ok / wall).alias("req_per_s"), (n_ok * audio / wall).alias("audio_s_per_s"), (F.sum(F.when(ok, tokens)) / wall).alias("tok_per_s"),
+    sums = df.groupBy(*by).agg(
+        F.count("*").alias("n_total"), n_ok.alias("n_ok"), (F.count("*") - n_ok).alias("n_err"), F.avg("_good").alias("lat_mean"),
+        (n_ok / wall).alias("req_per_s"), (n_ok * audio / wall).alias("audio_s_per_s"), (F.sum(F.when(ok, tokens)) / wall).alias("tok_per_s"), audio.alias("_audio"),
     )
+    places = quantiles(df, by, "_good", {"lat_p50": 0.5, "lat_p90": 0.9, "lat_p99": 0.99})
+    both = sums.alias("s").join(places.alias("q"), [F.col(f"s.{c}").eqNullSafe(F.col(f"q.{c}")) for c in by], "left")
+    return both.select(*[F.col(f"s.{c}").alias(c) for c in by], "n_total", "n_ok", "n_err", "lat_p50", "lat_p90", "lat_p99", "lat_mean", (F.col("lat_p50") / F.col("_audio")).alias("rtf_p50"), (F.col("lat_p90") / F.col("_audio")).alias("rtf_p90"), "req_per_s", "audio_s_per_s", "tok_per_s")
 
 
 def error_rate(n_err: Column, n_total: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonoframe.operators.messages import terminator
+
 
 def as_of(events: DataFrame, controls: DataFrame, session: str, order: str, columns: list[str]) -> DataFrame:
     """Each event with the last value, up to it, of the controls' columns; at the same place a control counts as earlier.
@@ -34,10 +36,47 @@ def with_enrollment(segments: DataFrame, enrollments: DataFrame, session: str) -
     return segments.join(enrollments, session, "inner")
 
 
-def terminators(sessions: DataFrame, outputs: DataFrame, session: str, kind: str = "final") -> DataFrame:
-    """An empty message for each stopped session that put out nothing. ``sessions`` has ``stopped``."""
+def terminators(sessions: DataFrame, outputs: DataFrame, session: str) -> DataFrame:
+    """(session, message): the empty message of each stopped session that put out nothing, where its task has one.
+
+    ``sessions`` has ``stopped``, ``task``, ``language``, ``mode`` and ``streaming``.
+    """
     silent = sessions.where("stopped").join(outputs.select(session).distinct(), session, "left_anti")
-    return silent.select(session, F.lit(kind).alias("type"), F.lit("").alias("text"))
+    message = terminator(F.col("task"), F.col("language"), F.col("mode"), F.col("streaming"))
+    return silent.select(session, message.alias("message")).where(F.col("message").isNotNull())
+
+
+def answered(requests: DataFrame, answers: DataFrame, session: str, order: str, request: str = "request_id") -> DataFrame:
+    """Answers to the request that their session waits for: its newest one so far, if that isn't answered yet.
+
+    At the same place a request counts as earlier. One shuffle by session.
+    """
+    waiting = as_of(answers, requests.withColumnRenamed(request, "_asked"), session, order, ["_asked"])
+    fits = waiting.where(F.col(request) == F.col("_asked_as_of"))
+    first = Window.partitionBy(session, request).orderBy(order)
+    return fits.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_asked_as_of")
+
+
+def utterances(frames: DataFrame, session: str, order: list[str], speaking: str = "speaking") -> DataFrame:
+    """``frames`` with ``utterance``: an ordinal from 1, new when speech begins and null when there is none."""
+    w = Window.partitionBy(session).orderBy(*order)
+    begins = F.when(F.col(speaking) & ~F.coalesce(F.lag(speaking).over(w), F.lit(False)), 1).otherwise(0)
+    number = F.sum("_begins").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return frames.withColumn("_begins", begins).withColumn("utterance", F.when(F.col(speaking), number)).drop("_begins")
+
+
+def single_flight(snapshots: DataFrame, session: str, at: str, took: str, interval: float = 0.0) -> DataFrame:
+    """Snapshots (session, at, took) that are sent: none while the one before is in flight, nor within ``interval`` of its start.
+
+    What a session sends depends on what it sent before, so its snapshots are folded in order, in one row.
+    """
+    def step(acc: Column, x: Column) -> Column:
+        go = acc["free"].isNull() | (x["at"] >= acc["free"])
+        return F.struct(F.when(go, F.greatest(x["at"] + x["took"], x["at"] + interval)).otherwise(acc["free"]).alias("free"), F.when(go, F.concat(acc["sent"], F.array(x["at"]))).otherwise(acc["sent"]).alias("sent"))
+
+    start = F.struct(F.lit(None).cast("double").alias("free"), F.array().cast("array<double>").alias("sent"))
+    order = F.array_sort(F.collect_list(F.struct(F.col(at).cast("double").alias("at"), F.col(took).cast("double").alias("took"))))
+    return snapshots.groupBy(session).agg(F.aggregate(order, start, step, lambda acc: acc["sent"]).alias("_sent")).select(session, F.explode("_sent").alias(at))
 
 
 def latest_wins(partials: DataFrame, session: str, arrival: str, seq: str) -> DataFrame:

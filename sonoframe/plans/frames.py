@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,28 +136,25 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A clip for each vector: its components as samples."""
 
     def make(batches):
-        import pandas as pd
-
         for b in batches:
             yield pd.DataFrame({"vec_id": b["vec_id"], "content": [audio.wav(x) for x in b["embedding"]]})
 
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(make, "vec_id long, content binary")
 
 
-@query("wav_roundtrip", "SELECT vec_id, (44 + 2 * len(embedding))::INT AS wav_bytes, len(embedding)::BIGINT AS n_samples, list_sum(list_transform(embedding, lambda x: trunc(greatest(-32768.0, least(32767.0, (x * 32767::FLOAT)::FLOAT)))))::BIGINT AS total FROM embeddings")
+@query("wav_roundtrip", "SELECT vec_id, (44 + 2 * len(embedding))::INT AS wav_bytes, len(embedding)::BIGINT AS n_samples, list_sum(list_transform(embedding, lambda x: trunc((trunc(greatest(-32768.0, least(32767.0, (x * 32767::FLOAT)::FLOAT)))::FLOAT / 32768::FLOAT * 32767::FLOAT)::FLOAT)))::BIGINT AS total FROM embeddings")
 def wav_roundtrip(spark, sf_dir):
+    """Samples written as a WAV file and decoded from it, scaled once each way."""
     got = clips(spark, sf_dir).select("vec_id", F.octet_length("content").alias("wav_bytes"), audio.decode_wav("content").alias("d"))
 
     def add(batches):
         import numpy as np
-        import pandas as pd
 
         for b in batches:
-            samples = [np.frombuffer(bytes(x), "<i2") for x in b["raw"]]
-            yield pd.DataFrame({"vec_id": b["vec_id"], "wav_bytes": b["wav_bytes"], "n_samples": [len(x) for x in samples], "total": [int(x.astype(np.int64).sum()) for x in samples]})
+            samples = [np.frombuffer(bytes(x), "<i2").astype(np.int64) for x in b["pcm"]]
+            yield pd.DataFrame({"vec_id": b["vec_id"], "wav_bytes": b["wav_bytes"], "n_samples": [len(x) for x in samples], "total": [int(x.sum()) for x in samples]})
 
-    raw = clips(spark, sf_dir).select("vec_id", F.octet_length("content").alias("wav_bytes"), F.expr("substring(content, 45)").alias("raw"))
-    return raw.join(got.where("d.error IS NULL").select("vec_id"), "vec_id", "left_semi").mapInPandas(add, "vec_id long, wav_bytes int, n_samples long, total long")
+    return got.where("d.error IS NULL").select("vec_id", "wav_bytes", "d.pcm").mapInPandas(add, "vec_id long, wav_bytes int, n_samples long, total long")
 
 
 @query("resample_linear")
@@ -165,7 +163,6 @@ def resample_linear(spark, sf_dir):
 
     def both(batches):
         import numpy as np
-        import pandas as pd
 
         for b in batches:
             sound = [np.repeat(np.asarray(x, np.float32), 12) for x in b["embedding"]]
@@ -173,3 +170,32 @@ def resample_linear(spark, sf_dir):
             yield pd.DataFrame({"vec_id": b["vec_id"], "n_low": [len(x) for x in low], "n_line": [len(x) for x in line], "rms_low": [float(np.sqrt((x**2).mean())) for x in low], "rms_line": [float(np.sqrt((x**2).mean())) for x in line]})
 
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(both, "vec_id long, n_low long, n_line long, rms_low double, rms_line double")
+
+
+@query("resample_lines", """
+WITH s AS (SELECT vec_id, embedding AS e, len(embedding) * 3 AS n FROM embeddings),
+p AS (SELECT vec_id, e, unnest(range(n // 2)) AS i, (len(e) * 3 - 1)::DOUBLE / (n // 2 - 1) AS step FROM s),
+q AS (SELECT vec_id, e, i * step AS x, floor(i * step)::BIGINT AS k, len(e) * 3 - 1 AS last_ FROM p)
+SELECT vec_id, count(*) AS n, round(sum((e[k // 3 + 1]::DOUBLE * (1 - (x - k)) + e[least(k + 1, last_) // 3 + 1]::DOUBLE * (x - k)) * x), 2) AS moment FROM q GROUP BY vec_id""")
+def resample_lines(spark, sf_dir):
+    """Each vector, every component thrice, as sound at 32 kHz brought to 16 kHz by straight lines."""
+
+    def bring(batches):
+        import numpy as np
+
+        for b in batches:
+            out = [audio.resample(np.repeat(np.asarray(x, np.float32), 3), 32_000).astype(float) for x in b["embedding"]]
+            at = [np.linspace(0, 3 * len(x) - 1, len(y)) for x, y in zip(b["embedding"], out, strict=True)]
+            yield pd.DataFrame({"vec_id": b["vec_id"], "n": [len(y) for y in out], "moment": [float((y * x).sum()) for x, y in zip(at, out, strict=True)]})
+
+    got = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(bring, "vec_id long, n long, moment double")
+    return got.select("vec_id", "n", F.round("moment", 2).alias("moment"))
+
+
+@query("energy_to_probability", "SELECT event_id, round(least(1.0, greatest(0.0, (value / 1000 - 0.008) / (0.06 - 0.008)))::DOUBLE, 6) AS prob FROM events")
+def energy_to_probability(spark, sf_dir):
+    @F.pandas_udf("double")
+    def mapped(energy: pd.Series) -> pd.Series:
+        return pd.Series(audio.energy_prob(energy.to_numpy()))
+
+    return table(spark, sf_dir, "events").select("event_id", F.round(mapped(F.col("value") / 1000), 6).alias("prob"))

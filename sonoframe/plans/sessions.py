@@ -44,13 +44,6 @@ def enrollment_join(spark, sf_dir):
     return session.with_enrollment(events(spark, sf_dir).select("event_id", "user_id"), enrolled, "user_id").select("event_id", "enrolled")
 
 
-@query("terminator_rows", "SELECT user_id, 'final' AS type, '' AS text FROM (SELECT DISTINCT user_id FROM events) WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 150)")
-def terminator_rows(spark, sf_dir):
-    df = events(spark, sf_dir)
-    sessions = df.select("user_id").distinct().withColumn("stopped", F.lit(True))
-    return session.terminators(sessions, df.where("event_type = 'purchase' AND value > 150"), "user_id")
-
-
 @query("latest_partial", """
 SELECT event_id FROM (SELECT event_id, value, max(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM events) WHERE m IS NULL OR value > m""")
 def latest_partial(spark, sf_dir):
@@ -89,7 +82,7 @@ def emotion_messages(spark, sf_dir):
 
 
 @query("target_messages", """
-SELECT event_id, '{"type":"final","id":"tsasr-' || substr(md5(user_id::VARCHAR), 1, 8) || '-' || row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) || '","task":"ts_asr","text":"' || event_type || '","language":"English"}' AS message
+SELECT event_id, '{"type":"final","id":"tsasr-' || substr(md5(user_id::VARCHAR), 1, 8) || '-' || row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) || '","text":"' || event_type || '","language":"English","task":"tsasr"}' AS message
 FROM events WHERE event_type <> 'error'""")
 def target_messages(spark, sf_dir):
     df = events(spark, sf_dir).withColumn("text", F.when(F.col("event_type") != "error", F.col("event_type")))
@@ -114,7 +107,8 @@ def bench_levels(spark, sf_dir):
 
 @query("error_rate", f"WITH {SQL_LEVELS} SELECT event_type, level, round((n_total - n_ok) / greatest(1, n_total), 9) AS error_rate FROM levels")
 def error_rate(spark, sf_dir):
-    return levels(spark, sf_dir).select("event_type", "level", F.round(metrics.error_rate(F.col("n_err"), F.col("n_total")), 9).alias("error_rate"))
+    df = metrics.counts(events(spark, sf_dir).withColumn("level", F.col("user_id") % 8), ["event_type", "level"], F.col("value") > 20)
+    return df.select("event_type", "level", F.round(metrics.error_rate(F.col("n_err"), F.col("n_total")), 9).alias("error_rate"))
 
 
 @query("bench_early_stop", f"WITH {SQL_LEVELS} SELECT event_type, level FROM (SELECT *, coalesce(max((p50 / 50 > 1.0 OR (n_total - n_ok) / greatest(1, n_total) > 0.05)::INT) OVER (PARTITION BY event_type ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM levels) WHERE o = 0")

@@ -173,7 +173,7 @@ def token_overlap() -> Column:
 _D = Params()
 
 
-@query("fusion_decision", f"""
+SQL_FUSED = f"""
 WITH {SQL_PAIRS},
 normal AS (SELECT *, {sql_normal('pt')} AS np, {sql_normal('st')} AS ns, [x FOR x IN {SQL_FORMS}] AS forms FROM pairs),
 words AS (SELECT *, {sql_tokens('np')} AS wp, {sql_tokens('ns')} AS ws FROM normal),
@@ -182,7 +182,10 @@ scored AS (SELECT *, {sql_quality('p_', 'np', 'wp', 'forms', _D.hotword_boost)},
 chosen AS (SELECT *, CASE WHEN st = '' THEN 1 WHEN pt = '' THEN 2 WHEN p_hotword_hits > 0 THEN 3
   WHEN p_repetition_ratio > {_D.max_repetition} OR (1 - sim > {_D.disagreement_threshold} AND p_hotword_hits <= s_hotword_hits) THEN 4
   WHEN sim >= {_D.similarity_threshold} AND p_score >= {_D.min_primary_score} THEN 5
-  WHEN p_score >= s_score + {_D.score_margin}::DOUBLE AND p_score >= {_D.min_primary_score} THEN 6 ELSE 7 END AS branch FROM scored)
+  WHEN p_score >= s_score + {_D.score_margin}::DOUBLE AND p_score >= {_D.min_primary_score} THEN 6 ELSE 7 END AS branch FROM scored)"""
+
+
+@query("fusion_decision", f"""{SQL_FUSED}
 SELECT segment_id, CASE WHEN branch = 1 THEN '' WHEN branch IN (3, 5, 6) THEN pt ELSE st END AS text,
   ['silence', 'secondary_only', 'primary_hotword_hit', 'secondary_qwen_fallback', 'primary_agreement', 'primary_hotword_advantage', 'secondary_qwen_fallback'][branch] AS selected,
   ['secondary_empty_force_silence', 'primary_empty', 'primary_hits_hotword', 'primary_hallucination_risk', 'high_similarity_and_primary_valid', 'primary_score_margin', 'primary_not_confident'][branch] AS reason,
@@ -212,16 +215,25 @@ def final_messages(spark, sf_dir):
 # -- model answers, made of the turns
 
 @query("parse_asr_output", r"""
-WITH made AS (SELECT conv_id, turn, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'), '^ | $', '', 'g'), ' ') AS w, (conv_id + turn) % 3 AS k FROM conversations)
-SELECT conv_id, turn, array_to_string(w, ' ') AS transcription, CASE WHEN k = 0 THEN 'English' END AS detected_language,
-  CASE WHEN k < 2 THEN array_to_string(list_filter(list_transform(string_split(regexp_replace(w[1] || ',' || coalesce(w[2], ''), '[,;]', ',', 'g'), ','), lambda x: trim(x)), lambda x: x <> ''), '|') ELSE '' END AS hotwords
-FROM made WHERE NOT regexp_matches(array_to_string(w, ' '), '(?i)(language|hotwords|transcription)') AND len(w) > 1""")
+WITH made AS (SELECT conv_id, turn, regexp_replace(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'), '^ | $', '', 'g') AS body, role, (conv_id + turn) % 6 AS k FROM conversations),
+shown AS (SELECT *, CASE WHEN regexp_matches(body, '(?i)(language|hotwords|transcription)') THEN 'hidden ' || length(body) ELSE body END AS said FROM made)
+SELECT conv_id, turn, CASE k WHEN 3 THEN 'the language: ' || role || ' hotwords: ' || said WHEN 4 THEN CASE WHEN said = '' THEN 'transcription:' ELSE said END WHEN 1 THEN CASE WHEN said = '' THEN 'Hotwords: ' || role || ' ，x;' ELSE said END WHEN 5 THEN '' ELSE said END AS transcription,
+  CASE WHEN k = 0 THEN 'English' WHEN k = 5 THEN 'Hotwords: a' END AS detected_language,
+  CASE WHEN k < 2 THEN role || '|x' WHEN k = 5 THEN 'a' ELSE '' END AS hotwords FROM shown""")
 def parse_asr_output(spark, sf_dir):
+    """Every turn as a model's answer: hotwords before and after the transcript, none, labels within a line, one field only, and a language line without a value."""
     body = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
-    df = turns(spark, sf_dir).withColumns({"body": body, "w": F.split(body, " "), "k": (F.col("conv_id") + F.col("turn")) % 3})
-    df = df.where((F.size("w") > 1) & ~F.col("body").rlike("(?i)(language|hotwords|transcription)"))
-    two = F.concat(F.element_at("w", 1), F.lit(","), F.element_at("w", 2))
-    raw = F.when(F.col("k") == 0, F.concat(F.lit("Language: English\nHotwords: "), two, F.lit("\nTranscription: "), "body")).when(F.col("k") == 1, F.concat(F.lit("Transcription: "), "body", F.lit("\\nHotwords: "), two)).otherwise(F.col("body"))
+    said = F.when(F.col("body").rlike("(?i)(language|hotwords|transcription)"), F.concat(F.lit("hidden "), F.char_length("body"))).otherwise(F.col("body"))
+    df = turns(spark, sf_dir).withColumns({"body": body, "k": (F.col("conv_id") + F.col("turn")) % 6}).withColumn("said", said)
+    k, two = F.col("k"), F.concat("role", F.lit(" ，x;"))
+    raw = (
+        F.when(k == 0, F.concat(F.lit("Language: English\nHotwords: "), two, F.lit("\nTranscription: "), "said"))
+        .when(k == 1, F.concat(F.lit("Transcription: "), "said", F.lit("\\nHotwords: "), two))
+        .when(k == 2, F.col("said"))
+        .when(k == 3, F.concat(F.lit("the language: "), "role", F.lit(" hotwords: "), "said"))
+        .when(k == 4, F.concat(F.lit("transcription:"), "said"))
+        .otherwise(F.lit("Language:\nHotwords: a\nTranscription:"))
+    )
     got = df.select("conv_id", "turn", parsing.parse_transcript(raw).alias("r"))
     return got.select("conv_id", "turn", "r.transcription", "r.detected_language", F.array_join("r.reported_hotwords", "|").alias("hotwords"))
 

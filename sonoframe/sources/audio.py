@@ -17,7 +17,7 @@ FRAMES = "session_id string, seq long, payload binary"
 
 
 def read_uploads(spark: SparkSession, path: str, params: Params = Params()) -> DataFrame:
-    """(path, pcm, seconds, error) of each file: empty, too_large, decode_failed, or its samples, capped at the tail."""
+    """(path, pcm, seconds, error) of each file: empty, too_large, decode_failed, empty_audio, or its samples, capped at the tail."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return validate_uploads(files, params)
 
@@ -28,7 +28,7 @@ def validate_uploads(files: DataFrame, params: Params = Params()) -> DataFrame:
     df = files.select("path", early.alias("early"), F.when(early.isNull(), F.col("content")).alias("content"))
     df = df.withColumn("got", au.decode_wav("content"))
     pcm = au.tail_cap_pcm(F.col("got.pcm"), params.upload_max_sec)
-    return df.select("path", F.when(F.col("early").isNull(), pcm).alias("pcm"), F.when(F.col("early").isNull(), F.octet_length(pcm) / (2 * au.RATE)).alias("seconds"), F.coalesce("early", "got.error").alias("error"))
+    return df.select("path", F.when(F.col("early").isNull(), pcm).alias("pcm"), F.when(F.col("early").isNull(), F.octet_length(pcm) / (2 * au.RATE)).alias("seconds"), F.coalesce("early", "got.error", F.when(F.col("got.seconds") == 0, "empty_audio")).alias("error"))
 
 
 def read_raw_pcm(spark: SparkSession, path: str) -> DataFrame:
@@ -99,7 +99,9 @@ def cut_segments(clips: DataFrame, segments: DataFrame, params: Params = Params(
 
 def read_settings(spark: SparkSession, path: str) -> Params:
     """Settings from a JSON file; a file that isn't there gives the defaults."""
-    rows = spark.read.option("wholetext", "true").option("ignoreMissingFiles", "true").format("binaryFile").load(path + "*").limit(1).collect()
+    folder, _, name = path.rpartition("/")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", name).load(folder or ".")
+    rows = files.limit(1).collect() if name else []
     return Params.load(bytes(rows[0]["content"]).decode() if rows else None)
 
 

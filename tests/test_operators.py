@@ -129,6 +129,7 @@ def test_streamed_segments_are_those_of_the_whole_table(spark, tmp_path):
     for k in range(0, len(rows), 400):
         spark.createDataFrame(rows[k : k + 400], schema).coalesce(1).write.mode("append").parquet(str(folder))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # timeouts would keep the query busy
     query = vad_stream.segment_stream(stream, rules).writeStream.format("memory").queryName("live_segments").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(180)
     got = sorted(tuple(r) for r in spark.table("live_segments").collect())

@@ -11,29 +11,31 @@ from __future__ import annotations
 import pickle
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sonoframe.llm.common import fold, pieces
 
 UNKNOWN = "und"
-#: Bound of the labelled sample, shared evenly by the languages.
+#: Bound of the labelled sample, shared evenly by the languages; each has one row at least.
 SAMPLE = 2400
 BUCKETS, DIMENSION = 1 << 16, 16
 GRAMS = range(1, 5)
 EPOCHS, BATCH, RATE = 4, 64, 8.0
 #: A small sample is passed over more often, up to so many steps.
 LEAST_STEPS = 480
-#: Words in a training example: each text gives one of each length, so that short texts are known too.
+#: Words in a training example beside the whole text: each text gives one of each length, so that short texts are known too.
 CUTS = (2, 5, 12, 40)
 #: The share of known-language texts that rejection may cost.
 REJECTED_SHARE = 0.01
+HASHES = 1 << 53
 CACHED_WORDS = 300_000
 LONGEST_WORD = 64
 
@@ -73,35 +75,44 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def examples(sample: list[tuple[str, str]], rng: np.random.Generator) -> list[tuple[np.ndarray, str]]:
-    """(buckets, language): each text, cut at a random place to a few words."""
+def examples(sample: list[tuple[str, str]], rng: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray, str]]:
+    """(buckets, how often each occurs, language): each text whole, and cut at a random place to a few words."""
     out, known = [], {}
     for text, lang in sample:
         found = words(text)
         if not found:
             continue
         at = int(rng.integers(len(found)))
-        for cut in CUTS:
-            part = found[at : at + cut] or found[:cut]
+        for part in (found, *(found[at : at + cut] or found[:cut] for cut in CUTS)):
             for w in set(part) - known.keys():
                 known[w] = np.array(subwords(w), dtype=np.int32)
-            buckets = np.concatenate([known[w] for w in part])
+            buckets, times = np.unique(np.concatenate([known[w] for w in part]), return_counts=True)
             if len(buckets):
-                out.append((buckets, lang))
+                out.append((buckets, times.astype(np.float32), lang))
     return out
 
 
+def split(sample: list[tuple[str, str]], rng: np.random.Generator) -> tuple[list, list]:
+    """Rows to fit on, and a fifth of each language's, rounded down, to calibrate on."""
+    fit, held, seen = [], [], Counter()
+    size = Counter(lang for _, lang in sample)
+    for i in rng.permutation(len(sample)):
+        lang = sample[i][1]
+        (held if seen[lang] < size[lang] // 5 else fit).append(sample[i])
+        seen[lang] += 1
+    return fit, held
+
+
 def train(sample: list[tuple[str, str]], seed: int = 7) -> Model | None:
     """Fit on (text, language) rows. None if no row has a letter."""
     rng = np.random.default_rng(seed)
     langs = sorted({lang for text, lang in sample if words(text)})
     if not langs:
         return None
-    order = rng.permutation(len(sample))
-    held = [sample[i] for i in order[: len(order) // 5]]
-    fit = examples([sample[i] for i in order[len(order) // 5 :]] if len(langs) * 5 < len(sample) else sample, rng)
+    fitted, held = split([(t, lang) for t, lang in sample if words(t)], rng)
+    fit = examples(fitted, rng)
     number = {lang: i for i, lang in enumerate(langs)}
-    y = np.array([number[lang] for _, lang in fit])
+    y = np.array([number[lang] for _, _, lang in fit])
     e = rng.normal(0, 1 / DIMENSION, (BUCKETS, DIMENSION)).astype(np.float32)
     w, bias = np.zeros((DIMENSION, len(langs)), dtype=np.float32), np.zeros(len(langs), dtype=np.float32)
     batches = -(-len(fit) // BATCH)
@@ -112,22 +123,23 @@ def train(sample: list[tuple[str, str]], seed: int = 7) -> Model | None:
         for start in range(0, len(fit), BATCH):
             part = shuffled[start : start + BATCH]
             sizes = np.array([len(fit[i][0]) for i in part])
-            flat = np.concatenate([fit[i][0] for i in part])
-            mean = np.add.reduceat(e[flat], np.concatenate(([0], np.cumsum(sizes)[:-1])), axis=0) / sizes[:, None]
+            flat, times = (np.concatenate([fit[i][k] for i in part]) for k in (0, 1))
+            owner, starts = np.repeat(np.arange(len(part)), sizes), np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            share = times / np.add.reduceat(times, starts)[owner]
+            mean = np.add.reduceat(e[flat] * share[:, None], starts, axis=0)
             p = softmax(mean @ w + bias)
             p[np.arange(len(part)), y[part]] -= 1
             rate = RATE * (1 - done / steps) / len(part)
-            back = (p @ w.T / sizes[:, None]).astype(np.float32)
+            back = (p @ w.T).astype(np.float32)
             w -= (rate * mean.T @ p).astype(np.float32)
             bias -= (rate * p.sum(axis=0)).astype(np.float32)
-            owner = np.repeat(np.arange(len(part)), sizes)
-            np.add.at(e, flat, -rate * back[owner])
+            np.add.at(e, flat, (-rate * share)[:, None] * back[owner])
             done += 1
     model = Model(langs, e, w, bias, 1.0, 0.0)
     check = examples(held, rng)
     if check and len(langs) > 1:
-        z = np.array([e[b].mean(axis=0) @ w + bias for b, _ in check])
-        truth = np.array([number.get(lang, 0) for _, lang in check])
+        z = np.array([(t / t.sum()) @ e[b] @ w + bias for b, t, _ in check])
+        truth = np.array([number[lang] for _, _, lang in check])
         loss = lambda t: -np.log(softmax(z / t)[np.arange(len(z)), truth] + 1e-12).mean()
         model.temperature = min((float(t) for t in np.geomspace(0.25, 8, 41)), key=loss)
         model.least = float(np.quantile(softmax(z / model.temperature).max(axis=1), REJECTED_SHARE))
@@ -135,19 +147,19 @@ def train(sample: list[tuple[str, str]], seed: int = 7) -> Model | None:
 
 
 def labelled_sample(docs: DataFrame, folds: int, held_out: int) -> list[tuple[str, str]]:
-    """About SAMPLE (text, language) rows outside the held-out fold, evenly from the languages, in order of a hash of the id.
+    """At most SAMPLE (text, language) rows outside the held-out fold, or one a language if there are more languages: the first of each by a hash of the id.
 
     Rows without a text, a language or an id are left out.
     """
-    known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held_out))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
-    if not counts:
-        return []
-    span = 1 << 20
-    rate = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int(min(1.0, SAMPLE / len(counts) / n) * span)))])
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < rate[F.col("lang")])
-    rows = chosen.select("text", "lang", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(2 * SAMPLE).collect()
-    return [(r["text"], r["lang"]) for r in rows]
+    known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held_out)).select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("h"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    quota = F.greatest(F.lit(1), F.floor(F.lit(SAMPLE) / F.lit(max(1, counts.count()))))
+    # hashes under a bound hold some times the rows that are wanted, so few rows are sorted
+    few = F.pmod("h", F.lit(HASHES)) <= F.lit(float(HASHES)) * 4 * (quota + 8) / F.col("n")
+    some = known.join(counts, "lang").where(few)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))
+    rows = some.withColumn("place", place).where(F.col("place") <= quota).select("text", "lang", "h", "doc_id").collect()
+    return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["h"], r["doc_id"], r["lang"], r["text"]))]
 
 
 class Worker:

@@ -6,6 +6,9 @@ least room in; failing that, the capacity whose bin costs least for what is stil
 every bin is downsized to the least permitted length that holds its contents. Shards hold a bounded number of
 pieces, however many there are in all, so packing has no task that grows with the corpus, and at that size the
 loss against packing all pieces together is a fraction of a bin a shard.
+
+Pieces carry their token ids, and where in their document they begin: sequences() puts a bin's pieces together, with
+the places where documents begin in it.
 """
 
 from __future__ import annotations
@@ -20,7 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sonoframe.llm import records
 from sonoframe.llm.common import WORD, written
+from sonoframe.llm.common import pieces as batched
 
 CAPACITIES = (512, 1024, 2048, 4096)
 #: A bin's cost in tokens: its length, what a sequence costs whatever its length, and attention, which grows with the square.
@@ -32,13 +37,16 @@ PACKED = T.StructType(
         T.StructField("doc_id", T.LongType()),
         T.StructField("copy", T.LongType()),
         T.StructField("piece", T.LongType()),
+        T.StructField("start", T.LongType()),
         T.StructField("n_tokens", T.LongType()),
         T.StructField("bin_id", T.LongType()),
         T.StructField("bin_offset", T.LongType()),
         T.StructField("capacity", T.LongType()),
         T.StructField("used", T.LongType()),
+        T.StructField("ids", T.BinaryType()),
     ]
 )
+ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.BinaryType())])
 
 
 def opening(length: int, waiting: Counter, sizes: list[int], capacities: tuple[int, ...], bin_cost: int) -> int:
@@ -108,36 +116,66 @@ def word_count(text_col: str = "text"):
     return F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
 
 
-def pieces(docs: DataFrame, length, largest: int, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, copy, piece, n_tokens): each row's length, cut at ``largest``. ``copy`` tells repeated ids apart."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), length.alias("n")).where("n > 0")
-    # equal rows are told apart by a number within their task, which a rerun repeats because the rows are written first
-    rows = written(rows.withColumn("copy", F.monotonically_increasing_id()), "lengths")
-    count = F.expr(f"int((n + {largest - 1}) div {largest})")
-    return rows.withColumn("piece", F.explode(F.sequence(F.lit(0), count - 1))).select("doc_id", "copy", F.col("piece").cast("long"), F.least(F.lit(largest), F.col("n") - F.col("piece") * largest).cast("long").alias("n_tokens"))
+def encoded(docs: DataFrame, tokenizer: str, end_id: int | None, *, vocabulary: int = 50_257, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids): each row's token ids as little-endian numbers, with ``end_id`` after them; a null text is empty."""
+    dtype = records.id_type(vocabulary)
+    end = b"" if end_id is None else np.array([end_id], dtype=dtype).tobytes()
+
+    def run(batches):
+        encode = records.encoder(tokenizer, dtype)
+        for batch in batched(batches):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for a, b in records.slices(texts):
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([ids + end for ids in encode(texts[a:b])], pa.binary())], names=ENCODED.fieldNames())
 
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ENCODED)
 
-def pack_documents(docs: DataFrame, *, length=None, capacities: tuple[int, ...] = CAPACITIES, bin_cost: int = BIN_COST, shard_pieces: int = SHARD_PIECES, id_col: str = "doc_id") -> DataFrame:
-    """One row for each piece of each row of ``docs``: its bin, its offset there, the bin's length and contents.
 
-    ``length`` is a column of token counts (words of ``text`` by default). Rows of length zero or null take no
-    room and give no piece. Rows with equal or null ids are packed one by one; ``copy`` tells them apart.
-    An empty table gives no rows.
+def cut(rows: DataFrame, largest: int, width: int) -> DataFrame:
+    """(doc_id, copy, piece, start, n_tokens, ids): rows (doc_id, n, ids) cut at ``largest`` tokens. ``copy`` tells repeated ids apart."""
+    # equal rows are told apart by a number within their task, which a rerun repeats because the rows are written first
+    rows = written(rows.where("n > 0").withColumn("copy", F.monotonically_increasing_id()), "lengths")
+    count = F.expr(f"int((n + {largest - 1}) div {largest})")
+    start = F.col("piece").cast("long") * largest
+    size = F.least(F.lit(largest), F.col("n") - start).cast("int")
+    ids = F.col("ids").substr((start * width + 1).cast("int"), size * width)
+    return rows.withColumn("piece", F.explode(F.sequence(F.lit(0), count - 1))).select("doc_id", "copy", F.col("piece").cast("long"), start.alias("start"), size.cast("long").alias("n_tokens"), ids.alias("ids"))
+
+
+def pack_documents(
+    docs: DataFrame, *, tokenizer: str | None = None, end_id: int | None = None, vocabulary: int = 50_257, length=None, capacities: tuple[int, ...] = CAPACITIES, bin_cost: int = BIN_COST, shard_pieces: int = SHARD_PIECES, id_col: str = "doc_id"
+) -> DataFrame:
+    """One row for each piece of each row of ``docs``: where it begins in the row, its bin, its offset there, the bin's length and contents, and its ids.
+
+    With ``tokenizer``, the path of a byte-level vocabulary, pieces hold the token ids of ``text``, as little-endian
+    numbers of two bytes (four for vocabularies of over 65,536 ids), each row's ending with ``end_id`` unless that is
+    None. Otherwise ``length`` is a column of token counts (words of ``text`` by default), and ids are null.
+    Rows of no token or of a null length take no room and give no piece; with an end id every row has a token. Rows
+    with equal or null ids are packed one by one; ``copy`` tells them apart. An empty table gives no rows.
     """
-    largest = max(capacities)
-    every = pieces(docs, word_count() if length is None else length, largest, id_col)
-    total = every.count()
-    shards = max(1, math.ceil(total / shard_pieces))
+    largest, width = max(capacities), np.dtype(records.id_type(vocabulary)).itemsize
+    if tokenizer is not None:
+        rows = encoded(docs, tokenizer, end_id, vocabulary=vocabulary, id_col=id_col).select("doc_id", (F.octet_length("ids") / width).cast("long").alias("n"), "ids")
+    else:
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (word_count() if length is None else length).cast("long").alias("n"), F.lit(None).cast("binary").alias("ids"))
+    every = cut(rows, largest, width)
+    shards = max(1, math.ceil(every.count() / shard_pieces))
 
     def solve(group):
-        lengths = group.column("n_tokens").to_pylist()
-        key = np.lexsort((group.column("piece").to_numpy(), group.column("copy").to_numpy()))
-        group = group.take(pa.array(key))
-        lengths = group.column("n_tokens").to_pylist()
-        where, offset, capacity, used = pack(lengths, capacities, bin_cost)
+        group = group.take(pa.array(np.lexsort((group.column("piece").to_numpy(), group.column("copy").to_numpy()))))
+        where, offset, capacity, used = pack(group.column("n_tokens").to_pylist(), capacities, bin_cost)
         base = group.column("shard")[0].as_py() << 32
-        found = [group.column(c) for c in ("doc_id", "copy", "piece", "n_tokens")]
-        return pa.Table.from_arrays([*found, pa.array([base + b for b in where], pa.int64()), pa.array(offset, pa.int64()), pa.array([capacity[b] for b in where], pa.int64()), pa.array([used[b] for b in where], pa.int64())], names=PACKED.fieldNames())
+        found = [group.column(c) for c in ("doc_id", "copy", "piece", "start", "n_tokens")]
+        return pa.Table.from_arrays([*found, pa.array([base + b for b in where], pa.int64()), pa.array(offset, pa.int64()), pa.array([capacity[b] for b in where], pa.int64()), pa.array([used[b] for b in where], pa.int64()), group.column("ids")], names=PACKED.fieldNames())
 
     dealt = every.withColumn("shard", F.pmod(F.xxhash64("copy", "piece"), F.lit(shards)))
     return dealt.groupBy("shard").applyInArrow(solve, PACKED)
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """(bin_id, capacity, used, ids, documents): each bin's ids, and (doc_id, start, offset, n_tokens) of its pieces in order. A bin is bounded by its capacity."""
+    parts = F.array_sort(F.collect_list(F.struct("bin_offset", "doc_id", "start", "n_tokens", "ids")))
+    held = packed.groupBy("bin_id", "capacity", "used").agg(parts.alias("parts"))
+    ids = F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
+    documents = F.transform("parts", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["start"].alias("start"), x["bin_offset"].alias("offset"), x["n_tokens"].alias("n_tokens")))
+    return held.select("bin_id", "capacity", "used", ids.alias("ids"), documents.alias("documents"))

@@ -84,8 +84,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_best_fit_packing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's pieces, packed best-fit into sequences of the permitted lengths."""
-    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Every document's token ids, cut into pieces and packed best-fit into sequences of the permitted lengths."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), end_id=END_ID)
 
 
 @query("op4_embedding_duplicates")

@@ -55,6 +55,11 @@ PRE_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^{SP
 PLAIN = re.compile(f"[\x00-\x7f{LETTERS}¡¢£§©«®°±»¿×÷–—‘’“”„•…‹›€]*")
 
 
+def id_type(vocabulary: int) -> str:
+    """The numpy type of stored ids."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
 def masked_crc(data: bytes) -> int:
     crc = zlib.crc32(data)
     return (((crc >> 15) | (crc << 17)) + MASK_DELTA) & 0xFFFFFFFF
@@ -175,7 +180,7 @@ def write_records(docs: DataFrame, folder: str, *, tokenizer: str, end_id: int |
     again or twice leaves one whole file. An empty table gives an empty index.
     """
     spark = docs.sparkSession
-    dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
+    dtype = id_type(vocabulary)
     end = b"" if end_id is None else np.array([end_id], dtype=dtype).tobytes()
     width = np.dtype(dtype).itemsize
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -278,7 +283,7 @@ DIGEST = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("sta
 
 def token_digests(docs: DataFrame, folder: str, *, tokenizer: str, end_id: int | None, vocabulary: int = 50_257) -> DataFrame:
     """Write ``docs`` as record files, read them back, and describe each document by what was read."""
-    dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
+    dtype = id_type(vocabulary)
     index = document_starts(write_records(docs, folder, tokenizer=tokenizer, end_id=end_id, vocabulary=vocabulary))
 
     def each(cols: dict, payloads: list[bytes]) -> dict:

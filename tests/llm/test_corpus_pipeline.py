@@ -61,10 +61,18 @@ def test_mixing_repeats_whole_rows(stages):
     assert set(before) == set(after) and all(1 <= after[r] <= 2 * before[r] for r in before)
 
 
-def test_every_word_is_packed(spark, sf, stages):
-    words = sum(len((r["text"] or "").encode().split()) for r in stages[4].collect())
-    rows = stages[5].collect()
-    assert sum(r["n_tokens"] for r in rows) == words
+def test_every_token_is_packed(spark, sf, stages):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode
+    want = Counter({r["doc_id"]: 0 for r in stages[4].select("doc_id").collect()})
+    for r in stages[4].collect():
+        want[r["doc_id"]] += len(encode(r["text"] or "", add_special_tokens=False).ids) + 1
+    rows, got = stages[5].collect(), Counter()
+    for r in rows:
+        got[r["doc_id"]] += r["n_tokens"]
+    assert got == want
     assert all(r["bin_offset"] + r["n_tokens"] <= r["used"] <= r["capacity"] for r in rows)
 
 

@@ -162,19 +162,53 @@ def check_bins(rows, capacities):
 
 
 def test_every_piece_is_packed_once(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    rows = queries.QUERIES["op6_best_fit_packing"](spark, sf).collect()
-    bins = check_bins(rows, packing.CAPACITIES)
-    lengths = defaultdict(int)
-    for r in rows:
-        lengths[r["doc_id"]] += r["n_tokens"]
-    want = {r["doc_id"]: len((r["text"] or "").encode().split()) for r in docs.collect()}
-    assert lengths == {d: n for d, n in want.items() if n}
-    assert sum(r["n_tokens"] for r in rows) >= 0.9 * sum(held[0]["capacity"] for held in bins.values())
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    rows = queries.QUERIES["op6_best_fit_packing"](spark, sf)
+    found = rows.collect()
+    bins = check_bins(found, packing.CAPACITIES)
+    got = defaultdict(list)
+    for r in sorted(found, key=lambda r: r["start"]):
+        assert r["start"] == len(got[r["doc_id"]]) and r["n_tokens"] == len(r["ids"]) // 2
+        got[r["doc_id"]] += np.frombuffer(r["ids"], "<u2").tolist()
+    encode = Tokenizer.from_file(VOCABULARY).encode
+    assert got == {r["doc_id"]: [*encode(r["text"] or "", add_special_tokens=False).ids, 2] for r in docs}
+    assert sum(r["n_tokens"] for r in found) >= 0.9 * sum(held[0]["capacity"] for held in bins.values())
+    again = defaultdict(dict)
+    for s in packing.sequences(rows).collect():
+        ids = np.frombuffer(s["ids"], "<u2").tolist()
+        assert len(ids) == s["used"] <= s["capacity"]
+        for d in s["documents"]:
+            again[d["doc_id"]][d["start"]] = ids[d["offset"] : d["offset"] + d["n_tokens"]]
+    assert {k: [t for _, part in sorted(v.items()) for t in part] for k, v in again.items()} == got
+
+
+def least_opening(length, waiting, capacities, cost):
+    """The capacity that costs least a token, by filling each with the longest waiting pieces that fit, one by one."""
+    costs = {}
+    for c in sorted(capacities):
+        if c >= length:
+            left, filled = sorted(waiting, reverse=True), length
+            for n in left:
+                filled += n if n <= c - filled else 0
+            final = min(x for x in capacities if x >= filled)
+            costs[c] = (final + cost + final * final / packing.ATTENTION) / filled
+    least = min(costs.values())
+    return min(c for c, x in costs.items() if x <= least + 1e-12)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_opening_against_a_plain_search(seed):
+    rng = random.Random(seed)
+    waiting = [rng.randint(1, 64) for _ in range(rng.randint(0, 40))]
+    length = rng.randint(1, 64)
+    want = least_opening(length, waiting, (16, 32, 64), 2)
+    assert packing.opening(length, packing.Counter(waiting), sorted(set(waiting)), (16, 32, 64), 2) == want
 
 
 def best_fit(lengths, capacities, cost):
-    """Best-fit decreasing by a scan of all bins, with the same opening rule."""
+    """Best-fit decreasing by a scan of all bins, with an opening rule of its own."""
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
     rooms, used = [], []
     for k, i in enumerate(order):
@@ -183,8 +217,7 @@ def best_fit(lengths, capacities, cost):
         if fits:
             b = max(j for j, room in enumerate(rooms) if room == min(fits))
         else:
-            waiting = packing.Counter(lengths[j] for j in order[k + 1 :])
-            rooms.append(packing.opening(n, waiting, sorted(waiting), capacities, cost))
+            rooms.append(least_opening(n, [lengths[j] for j in order[k + 1 :]], capacities, cost))
             used.append(0)
             b = len(rooms) - 1
         rooms[b] -= n

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from sonoframe.llm import mixing, packing, simhash, suffix_dedup, toxicity
 from sonoframe.llm.common import written
 
+#: The token that ends a document.
+END_ID = 2
 #: The fold that toxicity isn't learned from.
 FOLDS, HELD_OUT = 5, 0
 
@@ -38,8 +40,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in bins of the permitted lengths."""
-    return packing.pack_documents(docs)
+    """The token ids of all documents in bins of the permitted lengths, each document's ending with END_ID."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), end_id=END_ID)
 
 
 STAGES = [

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sonoframe.llm.common import written
+from sonoframe.llm.common import pieces, written
 from sonoframe.llm.components import components
 
 THRESHOLD = 0.9
@@ -45,7 +45,8 @@ BLOCK, PIVOTS = 4096, 256
 #: Queries that are weighed at once.
 QUERIES = 512
 SEED = 11
-SLACK = 1e-9
+#: What angles near 0 are uncertain by; within it the exact cosine decides.
+SLACK = 1e-7
 
 CODED = T.StructType([T.StructField("cid", T.LongType()), T.StructField("code", T.BinaryType()), T.StructField("factor", T.DoubleType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
@@ -224,14 +225,30 @@ def angle(cosine: Column) -> Column:
 
 def unit_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, u): unit vectors of the rows that can link; u is null where a vector is null, empty or zero, or has null or non-finite components."""
-    v = F.col(vector_col).cast("array<double>")
-    got = rows.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
-    fine = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False)) & (F.size("v") > 0)
-    got = got.withColumn("v", F.when(fine, F.col("v")))
-    most = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    got = got.withColumn("v", F.when(most > 0, F.transform("v", lambda x: x / most)))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    return got.withColumn("norm", norm).select("vec_id", F.transform("v", lambda x: x / F.col("norm")).alias("u"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 4000):
+            lists = batch.column(1)
+            sizes = lists.value_lengths().fill_null(0).to_numpy()
+            first = np.cumsum(sizes) - sizes
+            # a null component becomes NaN
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            found, unit = np.zeros(len(sizes), dtype=bool), np.zeros(len(flat))
+            for dim in np.unique(sizes[sizes > 0]).tolist():
+                some = np.flatnonzero(sizes == dim)
+                at = first[some][:, None] + np.arange(dim)[None, :]
+                v = flat[at]
+                most = np.abs(v).max(axis=1)
+                fine = np.isfinite(v).all(axis=1) & (most > 0)
+                scaled = v[fine] / most[fine, None]
+                unit[at[fine]] = scaled / np.sqrt((scaled * scaled).sum(axis=1))[:, None]
+                found[some[fine]] = True
+            kept = np.where(found, sizes, 0)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(kept))).astype(np.int32))
+            made = pa.ListArray.from_arrays(offsets, pa.array(unit[np.repeat(found, sizes)]), mask=pa.array(~found))
+            yield pa.RecordBatch.from_arrays([batch.column(0), made], names=["vec_id", "u"])
+
+    return rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(run, "vec_id long, u array<double>")
 
 
 def near_duplicates(rows: DataFrame, *, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -244,9 +261,9 @@ def near_duplicates(rows: DataFrame, *, threshold: float = THRESHOLD, recall: fl
     theta = math.acos(threshold)
     half = theta / 2 - SLACK
     vectors = written(unit_vectors(rows, id_col, vector_col), "units")
-    # a class is known by a hash of its vector, whose bits are all there is to it
+    # equal vectors are a class, numbered as written
     classes = vectors.where("u is not null").groupBy("u").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))
-    classes = written(classes.withColumn("cid", F.xxhash64("u")), "classes")
+    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     bits, tables = table_sizes(classes.count(), math.cos(theta / 2), recall)
     codes = written(coded(classes, tables, bits), "codes")
     members = codes.select("cid", F.explode("keys").alias("key"))
@@ -295,7 +312,9 @@ def near_duplicates(rows: DataFrame, *, threshold: float = THRESHOLD, recall: fl
     told = placed.join(balls.select("ball", "size"), "ball").join(counts, "cid", "left").join(nodes.withColumnRenamed("node", "cid"), "cid", "left").join(classes.select("cid", "least"), "cid")
     told = written(told.select("cid", (F.col("size") - 1 + F.coalesce("k", F.lit(0))).alias("n_links"), F.coalesce("component", "cid").alias("component"), "least"), "told")
     least = told.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = written(told.join(least, "component").select("cid", "n_links", "component_id"), "known")
-    out = vectors.select("vec_id", F.when(F.col("u").isNotNull(), F.xxhash64("u")).alias("cid")).join(known.hint("merge"), "cid", "left")
-    component = F.when(F.col("cid").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    known = told.join(least, "component").select("cid", "n_links", "component_id").join(units, "cid")
+    known = written(known.select(F.xxhash64("u").alias("key"), F.col("u").alias("of"), "n_links", "component_id"), "known")
+    able = vectors.where("u is not null").withColumn("key", F.xxhash64("u")).alias("v").join(known.hint("merge").alias("k"), (F.col("v.key") == F.col("k.key")) & (F.col("v.u") == F.col("k.of")))
+    out = able.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    out = out.union(vectors.where("u is null").select("vec_id", F.lit(0).cast("long"), "vec_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

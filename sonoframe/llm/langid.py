@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sonoframe.llm.common import fold, pieces
+from sonoframe.llm.common import fold, pieces, written
 
 UNKNOWN = "und"
 #: Bound of the labelled sample, shared evenly by the languages; each has one row at least.
@@ -36,6 +36,8 @@ CUTS = (2, 5, 12, 40)
 #: The share of known-language texts that rejection may cost.
 REJECTED_SHARE = 0.01
 HASHES = 1 << 53
+#: Rows of languages that are sent to all executors; more are joined.
+SENT = 100_000
 CACHED_WORDS = 300_000
 LONGEST_WORD = 64
 
@@ -152,11 +154,12 @@ def labelled_sample(docs: DataFrame, folds: int, held_out: int) -> list[tuple[st
     Rows without a text, a language or an id are left out.
     """
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held_out)).select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("h"))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
-    quota = F.greatest(F.lit(1), F.floor(F.lit(SAMPLE) / F.lit(max(1, counts.count()))))
+    counts = written(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    languages = counts.count()
+    quota = F.greatest(F.lit(1), F.floor(F.lit(SAMPLE) / F.lit(max(1, languages))))
     # hashes under a bound hold some times the rows that are wanted, so few rows are sorted
     few = F.pmod("h", F.lit(HASHES)) <= F.lit(float(HASHES)) * 4 * (quota + 8) / F.col("n")
-    some = known.join(counts, "lang").where(few)
+    some = known.join(F.broadcast(counts) if languages <= SENT else counts, "lang").where(few)
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))
     rows = some.withColumn("place", place).where(F.col("place") <= quota).select("text", "lang", "h", "doc_id").collect()
     return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["h"], r["doc_id"], r["lang"], r["text"]))]

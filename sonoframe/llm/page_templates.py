@@ -11,7 +11,7 @@ from __future__ import annotations
 import html
 import random
 
-#: Words of page furniture.
+#: Words of page furniture.
 MENU = "Home|About|About us|Contact|News|Blog|Products|Services|Login|Sign in|Register|FAQ|Help|Archive|Sports|World|Politics|Business|Tech|Search|Start|Kontakt|Impressum|Accueil|Inicio|Über uns|À propos|Contacto".split("|")
 NOTICE = "We use cookies to improve your experience.|This site uses cookies. Accept all|By continuing you agree to our privacy policy.|Subscribe to read the full story.|Sign up for our newsletter|You have 3 free articles left.|Please enable JavaScript.|Diese Website verwendet Cookies.|Ce site utilise des cookies.|Este sitio utiliza cookies.".split("|")
 ADVERT = "Advertisement|Sponsored content|Buy now and save 50%|Limited offer: order today|Anzeige|Publicité|Publicidad|Shop the sale|Promoted by our partners".split("|")

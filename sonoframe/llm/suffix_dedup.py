@@ -41,7 +41,7 @@ MODULUS, COVER = 73, (0, 1, 3, 7, 15, 31, 36, 54, 63)
 BEFORE = MODULUS - 1
 LEAST = LENGTH - BEFORE
 #: Bytes of text in a slice (a longer text is a slice of its own), and for each task that names are dealt to.
-SLICE_BYTES, NAMED_BYTES = 8 << 20, 32 << 20
+SLICE_BYTES, NAMED_BYTES = 2 << 20, 32 << 20
 #: Names that so many slices have are dealt by their triples.
 HOT_SLICES = 64
 #: Open places of one name that a task sorts; beyond, strings are dealt by their hash.

@@ -14,8 +14,6 @@ from sonoframe.llm.common import written
 
 #: Rows of an Arrow batch.
 ARROW_ROWS = 1000
-#: The token that ends a document.
-END_ID = 2
 #: The fold that toxicity isn't learned from.
 FOLDS, HELD_OUT = 5, 0
 
@@ -51,11 +49,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of all documents in bins of the permitted lengths, each document's ending with END_ID."""
+    """The pieces of all documents in bins of the permitted lengths, counted in words: a tokenizer would stay in the memory of workers that earlier stages filled."""
     small_batches(spark)
-    import public_tokenizers
-
-    return packing.pack_documents(docs, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), end_id=END_ID)
+    return packing.pack_documents(docs)
 
 
 STAGES = [

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonoframe.llm import embedding_dedup, html_extract, langid, media, mixing, packing, records, simhash, suffix_dedup, toxicity
+from sonoframe.llm import embedding_dedup, html_extract, langid, media, mixing, packing, pii, records, simhash, suffix_dedup, toxicity
 from sonoframe.llm.common import fold, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes of its repeated 100-byte strings."""
     return suffix_dedup.digests(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query("op13_personal_data")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data: what the rules find, and what boosted trees add."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digests(pii.find(docs, pii.train(docs)))

@@ -64,7 +64,7 @@ def learned(spark):
     """A corpus of confirmed numbers and addresses among other numbers."""
     rows = []
     for i in range(300):
-        rows.append((f"row {i} call +1 ({200 + i}) 555-{1000 + 7 * i} or write to {['ann.lee', 'bo', f'user{i}'][i % 3]}@{['example.org', f'mail{i}.example.com'][i % 2]} now",))
+        rows.append((f"row {i} {['call', 'and'][i % 2]} +1 ({200 + i}) 555-{1000 + 7 * i} or {['write to', 'at'][i % 2]} {['ann.lee', 'bo', f'user{i}'][i % 3]}@{['example.org', f'mail{i}.example.com'][i % 2]} now",))
         rows.append((f"order {10**9 + 7919 * i} of {i}.{i + 1} costs {i * 37}.50, version 3.{i}.{i * 2}.{300 + i}",))
     return pii.train(spark.createDataFrame(rows, "text string"))
 

@@ -123,6 +123,27 @@ class Decimator:
         return self.history.astype(np.float32).tobytes(), self.rest.astype(np.float32).tobytes()
 
 
+def decimated(samples: DataFrame, *, session: str = "session_id", index: str = "i", value: str = "x", cutoff: float = CUTOFF, block: int = 4096) -> DataFrame:
+    """(session, m, y): every third sample of a low-passed session, as Decimator gives it for the whole session.
+
+    ``samples`` has a row for each sample, numbered from 0 without gaps. They are dealt by blocks of outputs, each
+    with the samples before it that its first outputs need, so neither the length of a session nor where its chunks
+    end matters; an output is a dot product of its samples and the taps.
+    """
+    taps = F.array(*[F.lit(float(t)) for t in low_pass(cutoff)[::-1]])
+    own, ahead = F.floor(F.col(index) / (3 * block)), F.floor((F.col(index) + TAPS - 1) / (3 * block))
+    spread = samples.select(F.col(session), F.col(index).cast("long").alias("i"), F.col(value).cast("double").alias("x"), F.explode(F.array_distinct(F.array(own, ahead))).alias("_b"))
+    held = spread.groupBy(session, "_b").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("_s"))
+    # zeros stand for what comes before a session
+    first, last = F.col("_b") * 3 * block, F.element_at("_s", -1)["i"]
+    xs = F.concat(F.when(F.col("_b") == 0, F.array_repeat(F.lit(0.0), TAPS - 1)).otherwise(F.array().cast("array<double>")), F.transform("_s", lambda s: s["x"]))
+    n = F.least(F.lit(block).cast("long"), F.floor((last + 1 - first) / 3))
+    df = held.select(session, "_b", xs.alias("_x"), n.alias("_n")).where("_n > 0")
+    product = lambda k: F.aggregate(F.zip_with(F.slice("_x", (3 * k + 1).cast("int"), F.lit(TAPS)), taps, lambda x, t: x * t), F.lit(0.0), lambda a, v: a + v)
+    out = df.select(session, "_b", F.posexplode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), product)).alias("k", "y"))
+    return out.select(session, (F.col("_b") * block + F.col("k")).alias("m"), "y")
+
+
 def frame_energy(x: np.ndarray, hop: int) -> np.ndarray:
     """Root mean square of each whole frame."""
     return np.sqrt(np.square(x[: len(x) // hop * hop].reshape(-1, hop)).mean(axis=1, dtype=np.float32))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +16,11 @@ EXTRACTED_LENGTH = 10
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
 
 
+#: How HTML names its signs, the ampersand first, and what a hit is wrapped in.
+HTML_NAMES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\u00a0", "&nbsp;"))
+MARK = '<mark class="hotword-hit">'
+
+
 def empty() -> Column:
     return F.array().cast("array<string>")
 
@@ -70,16 +77,12 @@ def parse_csv(value: Column) -> Column:
 
 @F.pandas_udf(SPANS)
 def highlight_spans(text: pd.Series, words: pd.Series) -> pd.Series:
-    """Places of hotwords in a text, case aside: earliest first, longer before shorter, none over another."""
+    """Places of trimmed hotwords in a text, case aside: earliest first, longer before shorter, none over another. Code points, ends exclusive."""
 
     def one(body: str | None, known) -> list[dict]:
-        low = (body or "").lower()
-        found = []
-        for w in {x.lower() for x in (known if known is not None else []) if x}:
-            at = low.find(w)
-            while at >= 0:
-                found.append((at, -(at + len(w))))
-                at = low.find(w, at + len(w))
+        # a pattern finds places in the text as it is; lower-casing it could change its length
+        patterns = {re.escape(w) for w in ((x or "").strip() for x in (known if known is not None else [])) if w}
+        found = [(m.start(), -m.end()) for p in patterns for m in re.finditer(p, body or "", re.IGNORECASE)]
         kept, end = [], 0
         for start, stop in sorted(found):
             if start >= end:
@@ -92,3 +95,22 @@ def highlight_spans(text: pd.Series, words: pd.Series) -> pd.Series:
 
 def highlight_count(text: Column, words: Column) -> Column:
     return F.size(highlight_spans(text, words))
+
+
+def escaped(text: Column) -> Column:
+    """Text as HTML shows it."""
+    for sign, name in HTML_NAMES:
+        text = F.replace(text, F.lit(sign), F.lit(name))
+    return text
+
+
+def highlighted(text: Column, spans: Column) -> Column:
+    """The text as HTML with its spans marked, all of it escaped."""
+    body = F.coalesce(text, F.lit(""))
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
+
+    def step(a: Column, s: Column) -> Column:
+        before, hit = F.substring(body, a["at"] + 1, s["start"] - a["at"]), F.substring(body, s["start"] + 1, s["stop"] - s["start"])
+        return F.struct(s["stop"].alias("at"), F.concat(a["done"], escaped(before), F.lit(MARK), escaped(hit), F.lit("</mark>")).alias("done"))
+
+    return F.aggregate(spans, begin, step, lambda a: F.concat(a["done"], escaped(F.substring(body, a["at"] + 1, F.length(body)))))

@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 
 from sonoframe.functions import audio as au
 from sonoframe.functions.text import strip, text_or_empty
-from sonoframe.operators import fusion, messages, session
+from sonoframe.operators import fusion, messages, session, vad
 from sonoframe.params import Params
+from sonoframe.sources.audio import enrollments as decode_enrollments
 from sonoframe.sources.audio import validate_uploads
+from sonoframe.sources.scratch import stored
 
 Model = Callable[[DataFrame], DataFrame]
 
 #: Statuses of uploads that have no result.
+REFUSED = 400
 STATUS = {"empty": 400, "too_large": 413, "decode_failed": 400, "empty_audio": 400, "failed": 502}
 
 
@@ -36,6 +39,10 @@ class Task:
         """Messages for growing segments, of the same columns."""
         return self.nothing(snapshots)
 
+    def start(self, sessions: DataFrame) -> DataFrame:
+        """Messages for sessions that begin; they don't count as output."""
+        return self.nothing(sessions)
+
     def stop(self, sessions: DataFrame, outputs: DataFrame) -> DataFrame:
         """Messages for sessions (session_id, stopped, language) that are over, given what they put out."""
         return self.nothing(sessions)
@@ -46,12 +53,12 @@ class Task:
 
 
 def run(task: Task, segments: DataFrame, *, snapshots: DataFrame | None = None, sessions: DataFrame | None = None) -> DataFrame:
-    """All messages of a task: finals, partials, and what its silent sessions end with."""
+    """All messages of a task: finals, partials, what sessions that can't begin are told, and what silent ones end with."""
     finals = task.final(segments)
     out = finals
     if snapshots is not None:
         out = out.union(task.partial(snapshots))
-    return out if sessions is None else out.union(task.stop(sessions, finals))
+    return out if sessions is None else out.union(task.start(sessions)).union(task.stop(sessions, finals))
 
 
 def as_column(value: Column | str) -> Column:
@@ -64,11 +71,12 @@ def ended(task: str, sessions: DataFrame, outputs: DataFrame, mode: str = "ser",
 
 
 def transcribed(clips: DataFrame, key: str, primary: Model | None, secondary: Model | None, params: Params, hotwords: Column | None, similarity: Column | None = None) -> DataFrame:
-    """``clips`` with ``final``, its text, and ``detected``, the primary model's language; clips that no model answered go."""
+    """``clips`` with ``final``, its text, ``detected``, the primary model's language, and ``second``, whether the secondary model heard anything; clips that no model answered go."""
     none = clips.select(key, F.lit("").alias("text"), F.lit("").alias("detected_language")).where(F.lit(False))
     first, second = (none if model is None else model(clips) for model in (primary, secondary))
     pairs = fusion.pair_hypotheses(first, second, key)
-    texts = fusion.final_text(pairs, params, hotwords=hotwords, similarity=similarity).select(key, strip(F.col("final")).alias("final"))
+    second_heard = strip(text_or_empty("secondary_text")) != ""
+    texts = fusion.final_text(pairs, params, hotwords=hotwords, similarity=similarity).select(key, strip(F.col("final")).alias("final"), second_heard.alias("second"))
     return clips.join(texts, key).join(first.select(key, F.col("detected_language").alias("detected")), key, "left")
 
 
@@ -88,17 +96,22 @@ class Transcription(Task):
         return self.spoken(segments).select("session_id", "place", message.alias("message"))
 
     def partial(self, snapshots: DataFrame) -> DataFrame:
-        heard = snapshots
+        said = self.spoken(snapshots)
         if self.secondary is not None:
-            heard = snapshots.join(self.secondary(snapshots).where(strip(text_or_empty("text")) != "").select("segment_id"), "segment_id", "left_semi")
-        return self.spoken(heard).select("session_id", "place", messages.partial(F.col("final"), F.col("language")).alias("message"))
+            said = said.where("second")
+        return said.select("session_id", "place", messages.partial(F.col("final"), F.col("language")).alias("message"))
 
     def stop(self, sessions: DataFrame, outputs: DataFrame) -> DataFrame:
         return ended(self.name, sessions, outputs)
 
 
 class TargetTranscription(Task):
-    """What one enrolled speaker says. Sessions without an enrollment put out nothing but their end."""
+    """What one enrolled speaker says. Sessions without a usable enrollment put out nothing but why and their end.
+
+    ``enrollments`` is (session_id, pcm[, error, voice_traits]), as sources.enrollments() gives it. Segments with too
+    little voice never reach the model. It gets, beside the clip, the ``enrollment``, the speaker's ``voice_traits``,
+    and the ``hotwords`` that hold for the segment, where the tables have them.
+    """
 
     name = messages.TARGET_TASK
 
@@ -107,17 +120,35 @@ class TargetTranscription(Task):
 
     def final(self, segments: DataFrame) -> DataFrame:
         clips = segments.withColumn("pcm", au.tail_cap_pcm(F.col("pcm"), self.params.target_max_sec))
-        known = session.with_enrollment(clips, self.enrollments.select("session_id", F.col("pcm").alias("enrollment")), "session_id")
+        known = session.with_enrollment(gated(clips, self.params), self.usable(), "session_id")
         said = known.join(self.model(known).select("segment_id", strip(text_or_empty("text")).alias("text"), "detected_language"), "segment_id")
         said = session.numbered_outputs(said, "session_id", ["place"])
         language = fusion.detected_or(F.col("detected_language"), F.col("language"))
         message = messages.target_final(F.col("session_id"), F.col("ordinal"), F.col("text"), language, F.base64(au.encode_wav("pcm")), F.octet_length("pcm") / (2 * au.RATE))
         return said.select("session_id", "place", message.alias("message"))
 
+    def usable(self) -> DataFrame:
+        good = self.enrollments.where("error IS NULL") if "error" in self.enrollments.columns else self.enrollments
+        traits = [c for c in ("voice_traits",) if c in good.columns]
+        return good.select("session_id", F.col("pcm").alias("enrollment"), *traits)
+
+    def start(self, sessions: DataFrame) -> DataFrame:
+        if "error" not in self.enrollments.columns:
+            return self.nothing(sessions)
+        told = sessions.join(self.enrollments.where("error IS NOT NULL").select("session_id", "error"), "session_id")
+        return told.select("session_id", F.lit(None).cast("long").alias("place"), messages.enrollment_error(F.col("error")).alias("message"))
+
     def stop(self, sessions: DataFrame, outputs: DataFrame) -> DataFrame:
         return ended(self.name, sessions, outputs)
 
 
+def gated(clips: DataFrame, params: Params) -> DataFrame:
+    """Clips (pcm) with as much voice as the gate asks for."""
+    if not params.gate_enabled or params.gate_min_voiced_ms <= 0:
+        return clips
+    return clips.where(vad.passes_gate(vad.voiced_seconds(vad.Rules.of(params), params)("pcm"), params))
+
+
 class Emotion(Task):
     """A label or a description of each clip. Whole utterances promise one message a session, segments don't."""
 
@@ -137,8 +168,11 @@ class Emotion(Task):
 
 
 def uploaded(files: DataFrame, answer: Callable[[DataFrame], DataFrame], params: Params = Params()) -> DataFrame:
-    """(path, status, message) of each file: ``answer`` maps readable clips to (path, message); the others, and those without an answer, have a status only."""
-    clips = validate_uploads(files, params)
+    """(path, status, message) of each file: ``answer`` maps readable clips to (path, message); the others, and those without an answer, have a status only.
+
+    Files are decoded once: all models and branches read the stored clips.
+    """
+    clips = stored(validate_uploads(files, params), "clips")
     good = clips.where("error IS NULL")
     both = clips.select("path", "error").join(answer(good), "path", "left")
     error = F.coalesce("error", F.when(F.col("message").isNull(), "failed"))
@@ -167,12 +201,28 @@ def emotion_of_uploads(files: DataFrame, model: Model, mode: str = "ser", params
 
 
 def target_uploads(files: DataFrame, model: Model, enrollments: DataFrame, params: Params = Params(), *, language: Column | str = "") -> DataFrame:
-    """Uploaded files and what the enrolled speaker of each, (path, pcm) in ``enrollments``, says there: (path, status, message)."""
+    """Uploaded files and what the enrolled speaker of each says there: (path, status, message).
+
+    ``enrollments`` is (path, audio_b64[, format, voice_traits]), as sent. A readable file whose enrollment is missing or
+    can't be used is refused with its code, and no model is asked. The model gets the decoded ``enrollment`` and the traits.
+    """
+    sent = enrollments.withColumnRenamed("path", "session_id")
+    if "format" not in sent.columns:
+        sent = sent.withColumn("format", F.lit("wav"))
+    decoded = decode_enrollments(sent, params).select(F.col("session_id").alias("path"), F.col("pcm").alias("enrollment"), F.col("error").alias("refused"))
+    if "voice_traits" in enrollments.columns:
+        decoded = decoded.join(enrollments.select("path", "voice_traits"), "path")
+    asked = files.join(decoded, "path", "left").withColumn("refused", F.when(F.col("enrollment").isNull(), F.coalesce("refused", F.lit("missing"))))
+    capped = params.override({"upload_max_sec": params.target_max_sec})
+    # a file is looked at first, its enrollment next; only what passes both is decoded for the model
+    told = asked.where("refused IS NOT NULL")
+    refused = uploaded(told.select("path", "length", "content"), lambda clips: clips.join(told.select("path", "refused"), "path").select("path", messages.refused_enrollment(F.col("refused")).alias("message")), capped)
+    refused = refused.withColumn("status", F.when(F.col("message").isNotNull(), F.lit(REFUSED)).otherwise(F.col("status")))
 
     def answer(clips: DataFrame) -> DataFrame:
-        known = clips.join(enrollments.select("path", F.col("pcm").alias("enrollment")), "path")
+        known = clips.join(decoded.drop("refused"), "path")
         said = known.join(model(known).select("path", strip(text_or_empty("text")).alias("text"), "detected_language"), "path")
         message = messages.target_upload(F.col("text"), fusion.detected_or(F.col("detected_language"), as_column(language)), F.col("seconds"), F.base64(au.encode_wav("pcm")))
         return said.select("path", message.alias("message"))
 
-    return uploaded(files, answer, params.override({"upload_max_sec": params.target_max_sec}))
+    return uploaded(asked.where("refused IS NULL").select("path", "length", "content"), answer, capped).union(refused)

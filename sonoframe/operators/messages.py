@@ -62,6 +62,15 @@ def error(segment: Column, message: Column) -> Column:
     return F.to_json(F.struct(F.lit("error").alias("type"), segment.alias("id"), message.alias("message")))
 
 
+def enrollment_error(code: Column) -> Column:
+    """Why a session can't begin; the text that goes with a code is the client's."""
+    return F.to_json(F.struct(F.lit("error").alias("type"), F.concat(F.lit("enrollment_"), code).alias("code")))
+
+
+def refused_enrollment(code: Column) -> Column:
+    return F.to_json(F.struct(F.concat(F.lit("enrollment_"), code).alias("code")))
+
+
 def target_final(session: Column, ordinal: Column, text: Column, language: Column, audio: Column, seconds: Column) -> Column:
     tag = F.substring(F.md5(session.cast("string").cast("binary")), 1, 8)
     return F.to_json(F.struct(F.lit("final").alias("type"), F.concat(F.lit("tsasr-"), tag, F.lit("-"), ordinal.cast("string")).alias("id"), text.alias("text"), language.alias("language"), F.lit(TARGET_TASK).alias("task"), audio.alias("audio_b64"), F.round(seconds, 2).alias("duration_sec")))

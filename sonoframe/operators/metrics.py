@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sonoframe.sources.scratch import stored
+
 
 def counts(requests: DataFrame, by: list[str], ok: Column) -> DataFrame:
     n_ok = F.count_if(ok)
@@ -18,7 +22,8 @@ def quantiles(rows: DataFrame, by: list[str], value: str, at: dict[str, float])
     holds a group. A group's count before each of the few ranges it spreads over says where a quantile lies.
     """
     distinct = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    dealt = distinct.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id())
+    # stored with the number of its range, so that both uses see the same one
+    dealt = stored(distinct.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()), "quantiles")
     within = Window.partitionBy("_part", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     parts = dealt.groupBy("_part", *by).agg(F.sum("_n").alias("_n"))
     whole = Window.partitionBy(*by)
@@ -73,3 +78,26 @@ def real_time_factor(elapsed: Column, duration: Column) -> Column:
 def first_errors(requests: DataFrame, by: list[str], order: str, error: str, most: int = 5) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(order)
     return requests.where(F.col(error).isNotNull()).withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+
+
+def report(requests: DataFrame, levels: DataFrame, config: dict, *, by: list[str], order: str, ok: Column, latency: str, error: str, output: str, path: str) -> None:
+    """Writes a load test's report to ``path``: its settings, its levels with their figures, first errors and a sample answer, and all latencies.
+
+    ``levels`` is what level_stats() gives. Figures are JSON lines, one a level, ``settings`` one line; latencies are
+    a table beside them, in order of request, since a level may have any number of them.
+    """
+    spark = requests.sparkSession
+    errors = first_errors(requests.where(~ok), by, order, error).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("place", F.col(error).alias("error")))).alias("_e"))
+    sample = requests.where(ok).groupBy(*by).agg(F.min_by(output, order).alias("sample_output"))
+    keyed = lambda df: [F.col(f"l.{c}").eqNullSafe(df[c]) for c in by]
+    whole = levels.alias("l").join(errors, keyed(errors), "left").join(sample, keyed(sample), "left")
+    told = whole.select("l.*", "sample_output", F.coalesce(F.transform("_e", lambda e: e["error"]), F.array().cast("array<string>")).alias("errors"))
+    told.write.mode("overwrite").json(f"{path}/results")
+    requests.where(ok).select(*by, order, F.col(latency).alias("latency")).repartitionByRange(*by, order).sortWithinPartitions(*by, order).write.mode("overwrite").parquet(f"{path}/raw_latencies")
+    spark.createDataFrame([(json.dumps(config, sort_keys=True),)], "config string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
+
+
+def read_report(spark: SparkSession, path: str, schema: str) -> tuple[dict, DataFrame, DataFrame]:
+    """Settings, levels of ``schema``, and latencies of a report."""
+    config = json.loads(spark.read.text(f"{path}/config").first()[0])
+    return config, spark.read.schema(schema).json(f"{path}/results"), spark.read.parquet(f"{path}/raw_latencies")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sonoframe.functions import audio as au
 from sonoframe.params import Params
 
 
@@ -156,6 +157,23 @@ def speech_presence(frames: DataFrame, rules: Rules, threshold: float, frame_sec
     return found.select(session, (F.col("n") * frame_sec).alias("total_sec"), (F.col("v") * frame_sec).alias("voiced_sec"), "mean_prob", F.when(F.col("n") > 0, F.col("v") / F.col("n")).otherwise(0.0).alias("voiced_ratio"))
 
 
+def voiced_seconds(rules: Rules, p: Params):
+    """A UDF: seconds of a clip's whole frames whose mean is over the gate's threshold, by the energy of its samples."""
+
+    @F.pandas_udf("double")
+    def seconds(pcm: pd.Series) -> pd.Series:
+        def one(data: bytes | None) -> float:
+            machine, n = Machine(rules), 0
+            for prob in au.energy_prob(au.frame_energy(au.pcm16(bytes(data or b"")), p.hop)).tolist():
+                machine.step(prob)
+                n += (machine.average or 0.0) > p.gate_threshold
+            return n * p.hop / p.sample_rate
+
+        return pcm.map(one)
+
+    return seconds
+
+
 def passes_gate(voiced_sec: Column, p: Params) -> Column:
     if not p.gate_enabled or p.gate_min_voiced_ms <= 0:
         return F.lit(True)

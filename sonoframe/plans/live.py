@@ -273,13 +273,19 @@ def emotion_uploads(spark, sf_dir):
 
 
 @query("target_uploads", """
-SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 400 WHEN event_id % 5 = 0 THEN 502 ELSE 200 END AS status,
-  CASE WHEN event_id % 6 > 0 AND event_id % 5 > 0 THEN '{"type":"final","task":"tsasr","text":"mine ' || event_id % 5 || '","language":"' || CASE WHEN event_id % 2 = 0 THEN 'Thai' ELSE 'English' END || '","duration_sec":0.01}' END AS message FROM events""")
+WITH e AS (SELECT event_id, event_id % 6 = 0 AS unreadable, CASE event_id % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'decode_failed' WHEN 2 THEN 'too_short' END AS refused, event_id % 7 = 0 AS failed FROM events)
+SELECT event_id, CASE WHEN unreadable OR refused IS NOT NULL THEN 400 WHEN failed THEN 502 ELSE 200 END AS status,
+  CASE WHEN unreadable THEN NULL WHEN refused IS NOT NULL THEN '{"code":"enrollment_' || refused || '"}' WHEN failed THEN NULL
+  ELSE '{"type":"final","task":"tsasr","text":"mine ' || event_id % 5 || '","language":"' || CASE WHEN event_id % 2 = 0 THEN 'Thai' ELSE 'English' END || '","duration_sec":0.01}' END AS message FROM e""")
 def target_uploads(spark, sf_dir):
-    """Without its audio, the message of each upload whose speaker is enrolled."""
+    """Without its audio, the message of each upload: files that can't be read first, then enrollments that can't be used, by their code, then models that fail."""
     files = silent_clips(spark, sf_dir, F.when(F.col("event_id") % 6 == 0, -9).otherwise(160)).select(F.col("event_id").alias("path"), F.octet_length("content").alias("length"), "content")
-    enrolled = events(spark, sf_dir).where("event_id % 5 > 0").select(F.col("event_id").alias("path"), F.lit(b"").alias("pcm"))
-    made = engine.target_uploads(files, heard("mine ", lambda n: F.lit(False)), enrolled, language=F.lit("English"))
+    k = F.col("event_id") % 5
+    clips = silent_clips(spark, sf_dir, F.when(k == 1, -9).when(k == 2, 80).otherwise(200))
+    enrolled = clips.where(k > 0).select(F.col("event_id").alias("path"), F.base64("content").alias("audio_b64"))
+    params = Params().override({"enrollment_min_sec": 0.01, "enrollment_max_sec": 0.05})
+    said = heard("mine ", lambda n: F.lit(False))
+    made = engine.target_uploads(files, lambda c: said(c.where("path % 7 > 0")), enrolled, params, language=F.lit("English"))
     return made.select(F.col("path").alias("event_id"), "status", F.regexp_replace("message", ',"audio_b64":"[^"]*"', "").alias("message"))
 
 

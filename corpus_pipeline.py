@@ -10,48 +10,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sonoframe.llm import mixing, packing, simhash, suffix_dedup, toxicity
-from sonoframe.llm.common import written
+from sonoframe.llm.common import scratch_paths, sweep, written
 
-#: Rows of an Arrow batch.
-ARROW_ROWS = 1000
+#: Fixed by the vocabulary: what ends a document.
+END_ID = 2
 #: The fold that toxicity isn't learned from.
 FOLDS, HELD_OUT = 5, 0
 
 
-def small_batches(spark: SparkSession) -> None:
-    """This application's setting: texts are long, so an executor's Python workers get fewer rows at once than by default."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from this corpus's labels, doesn't hold to be toxic."""
-    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.without_toxic(docs, toxicity.train(*toxicity.labelled_sample(docs, labels, FOLDS, HELD_OUT)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each SimHash component."""
-    small_batches(spark)
     return simhash.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes of repeated 100-byte strings; one that nothing is left of stays, empty."""
-    small_batches(spark)
     return suffix_dedup.without_repeats(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once, smaller sources up to the repetition limit: one row for each pass over it."""
-    small_batches(spark)
     return mixing.mix(docs, marks=False)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in bins of the permitted lengths, counted in words: a tokenizer would stay in the memory of workers that earlier stages filled."""
-    small_batches(spark)
-    return packing.pack_documents(docs)
+    """The token ids of all documents, each with its end, in bins of the permitted lengths; packing.sequences() puts them together. A document that became empty is its end alone."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), end_id=END_ID)
 
 
 STAGES = [
@@ -68,8 +60,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held = scratch_paths()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
+            # the stage's result is stored, so what it and those before it kept can go
             docs = written(docs, name.replace(" ", "-"))
+            sweep(spark, [*held, scratch_paths()[-1]])
     return docs

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,18 +38,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths that scratch() gave and nobody dropped yet.
+_scratch: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
+    """A new path in the shared folder, removed by sweep(), or when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _scratch.append(path)
     atexit.register(drop, spark, path)
     return path
 
 
+def sweep(spark: SparkSession, held: list[str]) -> None:
+    """Drop all scratch tables but ``held``: for the end of a step whose result is stored."""
+    for path in [p for p in _scratch if p not in held]:
+        drop(spark, path)
+
+
+def scratch_paths() -> list[str]:
+    return list(_scratch)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Remove a path that scratch() gave. A driver that is already shutting down can't, and needn't."""
     with contextlib.suppress(Exception):
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        if path in _scratch:
+            _scratch.remove(path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -98,3 +118,24 @@ def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     order = [key.asc_nulls_last(), F.xxhash64(text_col)]
     dealt = docs.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
     return written(dealt.withColumn(ROW, F.monotonically_increasing_id()), "numbered"), False
+
+
+#: The one large thing that this Python worker keeps between tasks: (kind, key, value).
+_resident: list[tuple[str, Hashable, Any]] = []
+
+
+def resident(kind: str, key: Hashable, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept for this worker's next tasks of the same kind and key. What was kept before goes first, so a worker that serves several steps holds one step's models only."""
+    if not _resident or _resident[0][:2] != (kind, key):
+        vacate()
+        _resident.append((kind, key, make()))
+    return _resident[0][2]
+
+
+def vacate() -> None:
+    """Lets go of what resident() keeps, and gives free memory back to the system: for tasks that need room."""
+    _resident.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sonoframe.llm.common import fold, pieces, written
+from sonoframe.llm.common import fold, pieces, resident, written
 
 UNKNOWN = "und"
 #: Bound of the labelled sample, shared evenly by the languages; each has one row at least.
@@ -39,7 +39,6 @@ HASHES = 1 << 53
 #: Rows of languages that are sent to all executors; more are joined.
 SENT = 100_000
 CACHED_WORDS = 300_000
-LONGEST_WORD = 64
 
 LETTERS = re.compile(r"[^\W\d_]+")
 PREDICTED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
@@ -60,9 +59,7 @@ def words(text: str | None) -> list[str]:
 
 
 def subwords(word: str) -> list[int]:
-    """Buckets of a word's n-grams and of the word; none if it has no letter. Very long runs are cut into parts."""
-    if len(word) > LONGEST_WORD:
-        return [h for i in range(0, len(word), LONGEST_WORD) for h in subwords(word[i : i + LONGEST_WORD])]
+    """Buckets of a word's n-grams and of the word, whatever its length; none if it has no letter."""
     if not (word.isalpha() or any(map(str.isalpha, word))):
         return []
     b = f"<{word}>"
@@ -86,7 +83,7 @@ def examples(sample: list[tuple[str, str]], rng: np.random.Generator) -> list[tu
             continue
         at = int(rng.integers(len(found)))
         for part in (found, *(found[at : at + cut] or found[:cut] for cut in CUTS)):
-            for w in set(part) - known.keys():
+            for w in {w for w in part if w not in known}:
                 known[w] = np.array(subwords(w), dtype=np.int32)
             buckets, times = np.unique(np.concatenate([known[w] for w in part]), return_counts=True)
             if len(buckets):
@@ -128,14 +125,17 @@ def train(sample: list[tuple[str, str]], seed: int = 7) -> Model | None:
             flat, times = (np.concatenate([fit[i][k] for i in part]) for k in (0, 1))
             owner, starts = np.repeat(np.arange(len(part)), sizes), np.concatenate(([0], np.cumsum(sizes)[:-1]))
             share = times / np.add.reduceat(times, starts)[owner]
-            mean = np.add.reduceat(e[flat] * share[:, None], starts, axis=0)
+            vectors = e[flat]
+            mean = np.column_stack([np.bincount(owner, vectors[:, d] * share, len(part)) for d in range(DIMENSION)]).astype(np.float32)
             p = softmax(mean @ w + bias)
             p[np.arange(len(part)), y[part]] -= 1
             rate = RATE * (1 - done / steps) / len(part)
             back = (p @ w.T).astype(np.float32)
             w -= (rate * mean.T @ p).astype(np.float32)
             bias -= (rate * p.sum(axis=0)).astype(np.float32)
-            np.add.at(e, flat, (-rate * share)[:, None] * back[owner])
+            change = (-rate * share)[:, None] * back[owner]
+            for d in range(DIMENSION):
+                e[:, d] += np.bincount(flat, change[:, d], BUCKETS)
             done += 1
     model = Model(langs, e, w, bias, 1.0, 0.0)
     check = examples(held, rng)
@@ -198,7 +198,7 @@ class Worker:
         split = [words(t) for t in texts]
         if self.used > CACHED_WORDS:
             self.rows, self.used = {}, 0
-        new = set().union(*split) - self.rows.keys()
+        new = {w for found in split for w in found if w not in self.rows}
         if new:
             self.learn(sorted(new))
         get = self.rows.__getitem__
@@ -210,13 +210,9 @@ class Worker:
         return [UNKNOWN if x else self.model.langs[i] for i, x in zip(best, none, strict=True)], np.where(none, 0.0, p.max(axis=1))
 
 
-_worker: list[Worker] = []
-
-
 def worker(packed: bytes) -> Worker:
-    if not _worker or _worker[0].packed != packed:
-        _worker[:] = [Worker(packed)]
-    return _worker[0]
+    """This Python worker's state, kept between tasks of the same model."""
+    return resident("langid", packed, lambda: Worker(packed))
 
 
 def predict(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

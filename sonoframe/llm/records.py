@@ -18,7 +18,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sonoframe.llm.common import partitions, pieces
+from sonoframe.llm.common import partitions, pieces, resident
 
 MASK_DELTA = 0xA282EAD8
 INDEX = T.StructType(
@@ -153,9 +152,9 @@ class Encoder:
         return [self.encode(t) if t else b"" for t in texts]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, dtype: str) -> Encoder:
-    return Encoder(path, dtype)
+    """This Python worker's encoder, kept between tasks."""
+    return resident("encoder", (path, dtype), lambda: Encoder(path, dtype))
 
 
 def slices(texts: list[str | None], size: int = 4 << 20) -> Iterator[tuple[int, int]]:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sonoframe.llm.common import ROW, numbered, partitions, pieces, wrapped, written
+from sonoframe.llm.common import ROW, numbered, partitions, pieces, vacate, written
 
 LENGTH = 100
 #: The perfect difference set of order 8: each residue but 0 is the difference of exactly one pair.
@@ -41,7 +41,7 @@ MODULUS, COVER = 73, (0, 1, 3, 7, 15, 31, 36, 54, 63)
 BEFORE = MODULUS - 1
 LEAST = LENGTH - BEFORE
 #: Bytes of text in a slice (a longer text is a slice of its own), and for each task that names are dealt to.
-SLICE_BYTES, NAMED_BYTES = 2 << 20, 32 << 20
+SLICE_BYTES, NAMED_BYTES = 2 << 20, 16 << 20
 #: Names that so many slices have are dealt by their triples.
 HOT_SLICES = 64
 #: Open places of one name that a task sorts; beyond, strings are dealt by their hash.
@@ -77,6 +77,7 @@ def slices(rows: DataFrame) -> DataFrame:
     """Texts of (row, text), compressed by slices; in a slice they are in order of row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=1).compress
@@ -177,6 +178,7 @@ def slice_names(texts: DataFrame, tasks: int) -> DataFrame:
     """Each slice's distinct names, dealt by value: in order, without what the task says of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         for batch in batches:
             for i in range(batch.num_rows):
                 s = Slice(batch, i)
@@ -195,6 +197,7 @@ def repeated_names(names: DataFrame, tasks: int) -> DataFrame:
     """Bits for a slice's names in one task: whether another slice has the name too, and whether HOT_SLICES have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         keys, task, low = [], [], []
         for batch in batches:
             keys += batch.column("slice").to_pylist()
@@ -223,6 +226,7 @@ def triples(texts: DataFrame, flags: DataFrame, tasks: int) -> DataFrame:
     flagged = flags.groupBy("slice").agg(F.collect_list(F.struct("task", "again", "hot")).alias("flags"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         from xxhash import xxh64_intdigest
 
         for batch in batches:
@@ -269,6 +273,7 @@ def sorted_triples(dealt: DataFrame, tasks: int) -> DataFrame:
     """Repeats and open places, by slice and kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         held = []
         for batch in batches:
             for i in range(batch.num_rows):
@@ -316,6 +321,7 @@ def surroundings(texts: DataFrame, places: DataFrame) -> DataFrame:
     wanted = places.groupBy("slice").agg(F.flatten(F.collect_list("open")).alias("open"), F.flatten(F.collect_list("gram")).alias("gram"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         for batch in batches:
             for i in range(batch.num_rows):
                 s = Slice(batch, i)
@@ -391,6 +397,7 @@ def merged(around: DataFrame, tasks: int) -> DataFrame:
     """Spans of the strings around open places that repeat, by slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         held: list[pa.RecordBatch] = []
         count = 0
 
@@ -426,6 +433,7 @@ def dealt_strings(around: DataFrame) -> DataFrame:
     """Spans of repeated strings, each string dealt by its own hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         for part in pieces(batches, 2000):
             row, start, keys, number = [], [], [], []
             for r, at, low, data, k in zip(*(part.column(n).to_pylist() for n in ("row", "at", "low", "bytes", "slice")), strict=True):
@@ -469,6 +477,7 @@ def cleaned(texts: DataFrame, gone: DataFrame) -> DataFrame:
     gathered = gone.groupBy("slice").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("again", "row", "start", "stop")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         for batch in batches:
             for i in range(batch.num_rows):
                 s = Slice(batch, i)
@@ -521,7 +530,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with each text cut as remove_repeats() says, and its new length in ``chars_col``; a character that loses a byte goes. A null text becomes empty."""
-    rows, _ = numbered(wrapped(docs, doc_id=F.col(id_col), text=F.col(text_col)))
+    # the other columns travel by themselves: the text that comes back is another one
+    others = F.struct(*[c for c in docs.columns if c != text_col]) if len(docs.columns) > 1 else F.lit(None)
+    rows, _ = numbered(docs.select(others.alias("doc"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     kept = remove_repeats(rows, id_col=ROW)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -532,7 +543,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     new = {text_col: F.col("_kept")}
     if chars_col in docs.columns:
         new[chars_col] = F.length("_kept").cast(docs.schema[chars_col].dataType)
-    return rows.join(texts, ROW).select(*[new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
+    return rows.select(ROW, "doc").join(texts, ROW).select(*[new[c].alias(c) if c in new else F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def digests(cleaned_rows: DataFrame) -> DataFrame:

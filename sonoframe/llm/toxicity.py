@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sonoframe.llm.common import fold, pieces
+from sonoframe.llm.common import fold, pieces, resident
 
 #: Bounds of the labelled sample: documents of either label.
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 1500, 3000
@@ -273,11 +273,6 @@ class Worker:
         return sum(map(own.__contains__, found)), len(found)
 
 
-_worker: list[Worker] = []
-
-
 def worker(packed: bytes) -> Worker:
     """This Python worker's state, kept between tasks of the same model."""
-    if not _worker or _worker[0].packed != packed:
-        _worker[:] = [Worker(packed)]
-    return _worker[0]
+    return resident("toxicity", packed, lambda: Worker(packed))

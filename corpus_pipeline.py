@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sonoframe.llm import mixing, packing, simhash, suffix_dedup, toxicity
-from sonoframe.llm.common import scratch_paths, sweep, written
+from sonoframe.llm.common import scratch_paths, small_batches, stored_at, sweep, written
 
 #: Fixed by the vocabulary: what ends a document.
 END_ID = 2
@@ -21,17 +21,20 @@ FOLDS, HELD_OUT = 5, 0
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from this corpus's labels, doesn't hold to be toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.without_toxic(docs, toxicity.train(*toxicity.labelled_sample(docs, labels, FOLDS, HELD_OUT)))
+    with small_batches(spark):
+        return written(toxicity.without_toxic(docs, toxicity.train(*toxicity.labelled_sample(docs, labels, FOLDS, HELD_OUT))), "ordinary")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each SimHash component."""
-    return simhash.one_of_each(docs)
+    with small_batches(spark):
+        return written(simhash.one_of_each(docs), "distinct")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes of repeated 100-byte strings; one that nothing is left of stays, empty."""
-    return suffix_dedup.without_repeats(docs)
+    with small_batches(spark):
+        return written(suffix_dedup.without_repeats(docs), "cut")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +46,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """The token ids of all documents, each with its end, in bins of the permitted lengths; packing.sequences() puts them together. A document that became empty is its end alone."""
     import public_tokenizers
 
-    return packing.pack_documents(docs, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), end_id=END_ID)
+    with small_batches(spark):
+        return written(packing.pack_documents(docs, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), end_id=END_ID), "packed")
 
 
 STAGES = [
@@ -66,5 +70,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k + 1 < len(STAGES):
             # the stage's result is stored, so what it and those before it kept can go
             docs = written(docs, name.replace(" ", "-"))
-            sweep(spark, [*held, scratch_paths()[-1]])
+            sweep(spark, [*held, stored_at(docs)])
     return docs

@@ -70,11 +70,20 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows from a table in the shared folder: they survive lost executors and cut the lineage."""
+    """The same rows from a table in the shared folder: they survive lost executors and cut the lineage. What is such a table already stays as it is."""
+    if stored_at(df) is not None:
+        return df
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._stored_at = path
+    return found
+
+
+def stored_at(df: DataFrame) -> str | None:
+    """Where written() put exactly these rows."""
+    return getattr(df, "_stored_at", None)
 
 
 def fold(doc_id: Column | str, of: int) -> Column:
@@ -93,6 +102,23 @@ def pieces(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterato
             yield batch.slice(start, rows)
 
 
+#: Bytes and rows of an Arrow batch for steps whose rows are large.
+SMALL_BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """For the time of a block, jobs that start in it hand rows to Python a few megabytes at once; the session's settings come back after it."""
+    before = {k: spark.conf.get(k) for k in SMALL_BATCH}
+    for k, v in SMALL_BATCH.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -27,7 +27,8 @@ ENDS_P = frozenset("address article aside blockquote details div dl fieldset fig
 #: Elements that an implied end doesn't reach beyond.
 SCOPE = frozenset("ul ol dl table div article section main aside nav header footer form body blockquote".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: Comments, declarations and tags. A tag with a quote that nothing closes ends at the first ``>``.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*(?=>|\Z)|[^>]*)(?:>|\Z)", re.S)
 #: Ends of raw elements; a template may hold others.
 ENDS = {tag: re.compile(rf"<(/{'?' if tag == 'template' else ''}){tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
 NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)

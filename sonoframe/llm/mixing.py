@@ -24,6 +24,8 @@ SEED = 17
 #: The exponent is a multiple of 1 / WAYS ** ROUNDS.
 WAYS, ROUNDS = 16, 3
 NO_SOURCE = "(none)"
+#: A column of a row's block key, which goes again.
+KEY = "_mix_key"
 MARKS = ("mix_source", "mix_block", "mix_epoch", "mix_weight", "mix_progress")
 
 
@@ -36,6 +38,12 @@ def block_of(blocks: int, id_col: str = "doc_id") -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % blocks
 
 
+def block_key(docs: DataFrame, id_col: str) -> Column:
+    """What deals a row to a block: its id, or where that is null a hash of the row, so that such rows don't all meet."""
+    plain = [f.name for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]
+    return F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null-"), F.xxhash64(*plain).cast("string")))
+
+
 def exponent(sources: DataFrame, *, repetition_limit: float | None, entropy: float | None) -> float:
     """The least exponent that holds the limit; ``sources`` has ``tokens`` over 0. 1 if none lower does.
 
@@ -115,13 +123,13 @@ def mix(docs: DataFrame, *, tokens: Column | None = None, id_col: str = "doc_id"
     own; null and repeated ids are kept, and equal ids share a block. An empty table gives no rows. Columns of
     ``docs`` that have one of the added names are replaced; without ``marks`` only the columns of ``docs`` come, as they are, sorted by progress.
     """
-    sized = written(docs.select(source_key(source_col).alias("source"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(word_count() if tokens is None else tokens, F.lit(0)).cast("long").alias("tokens")), "sized")
+    sized = written(docs.select(source_key(source_col).alias("source"), block_key(docs, id_col).alias("doc_id"), F.coalesce(word_count() if tokens is None else tokens, F.lit(0)).cast("long").alias("tokens")), "sized")
     runs, blocks = plan(sized, **how)
     runs = written(runs.select(*[F.col(c).alias(f"mix_{c}") for c in runs.columns]), "plan")
-    placed = wrapped(docs, mix_source=source_key(source_col), mix_block=block_of(blocks, id_col))
+    placed = wrapped(docs.withColumn(KEY, block_key(docs, id_col)), mix_source=source_key(source_col), mix_block=block_of(blocks, KEY))
     mixed = placed.join(runs.drop("mix_budget").hint("merge"), ["mix_source", "mix_block"])
     if not marks:
-        return mixed.orderBy("mix_progress", "mix_source", "mix_epoch", "mix_block", F.xxhash64(F.col("doc")[id_col])).select("doc.*")
+        return mixed.orderBy("mix_progress", "mix_source", "mix_epoch", "mix_block", F.xxhash64(F.col("doc")[KEY])).select(*[F.col("doc")[c].alias(c) for c in docs.columns])
     return mixed.select(*[F.col("doc")[c].alias(c) for c in docs.columns if c not in MARKS], *MARKS)
 
 

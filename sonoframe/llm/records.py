@@ -12,6 +12,7 @@ reader seeks straight to the frames that it wants.
 
 from __future__ import annotations
 
+import json
 import os
 import posixpath
 import re
@@ -116,6 +117,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype, self.letters = Tokenizer.from_file(path), dtype, byte_letters()
+        if self.tokenizer.get_vocab_size() > np.iinfo(np.dtype(dtype)).max + 1:
+            raise ValueError(f"ids of {path} don't fit into {dtype}")
+        # the pattern above is that of byte-level vocabularies without a normal form; others take the slow way
+        rules = json.loads(self.tokenizer.to_str())
+        split = rules.get("pre_tokenizer") or {}
+        self.fast = rules.get("normalizer") is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not (rules.get("post_processor") or {}).get("add_prefix_space")
         self.model = self.tokenizer.model
         self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.tokens, self.pieces = Ids(self.token), Ids(self.piece)
@@ -144,6 +151,8 @@ class Encoder:
         return out
 
     def encode(self, text: str) -> bytes:
+        if not self.fast:
+            return self.piece(text)
         if self.plain(text):
             return b"".join(map(self.tokens.__getitem__, PRE_TOKEN.findall(text)))
         return b"".join([self.encode(p) if self.plain(p) else self.pieces[p] for p in self.cut(text)])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sonoframe.llm.common import ROW, numbered, pieces, wrapped, written
+from sonoframe.llm.common import ROW, numbered, pieces, vacate, wrapped, written
 from sonoframe.llm.components import components
 
 RADIUS = 4
@@ -61,6 +61,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, fp): a signed 64-bit fingerprint of each row's whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         for batch in pieces(batches):
             fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
@@ -84,6 +85,7 @@ def emit(rows: DataFrame, old: list[int], new: list[int], half: int) -> DataFram
     held, added = np.uint64(mask(old)), np.uint64(mask(new))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         for batch in batches:
             for at in range(0, batch.num_rows, 20_000):
                 key, fp, left = (batch.column(i).slice(at, 20_000).to_numpy(zero_copy_only=False) for i in range(3))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sonoframe.llm.common import ROW, numbered, partitions, pieces, vacate, written
+from sonoframe.llm.common import ROW, drop, numbered, partitions, pieces, small_batches, stored_at, vacate, written
 
 LENGTH = 100
 #: The perfect difference set of order 8: each residue but 0 is the difference of exactly one pair.
@@ -453,10 +453,16 @@ def dealt_strings(around: DataFrame) -> DataFrame:
 
 def repeats(texts: DataFrame, n_bytes: int) -> DataFrame:
     """Of each slice, the covered positions that repeat (``again``) and spans of other repeated strings: the union of all is what goes."""
+    with small_batches(texts.sparkSession):
+        return stored_repeats(texts, n_bytes)
+
+
+def stored_repeats(texts: DataFrame, n_bytes: int) -> DataFrame:
     spark = texts.sparkSession
     tasks = max(2 * partitions(spark), n_bytes // NAMED_BYTES + 1)
     flags = written(repeated_names(slice_names(texts, tasks), tasks), "names")
     found = written(sorted_triples(triples(texts, flags, tasks), tasks), "triples")
+    drop(spark, stored_at(flags))
     light = found.where(F.col("kind") == LIGHT).select("slice", "open", "gram")
     heavy = found.where(F.col("kind") == HEAVY).select("slice", "open", "gram")
     spread = found.where((F.col("kind") == SPREAD) & (F.size("open") > 0)).select("slice", F.explode(F.arrays_zip("open", "gram")).alias("p")).select("slice", F.array("p.open").alias("open"), F.array("p.gram").alias("gram"), F.col("p.gram").alias("name"))
@@ -468,7 +474,7 @@ def repeats(texts: DataFrame, n_bytes: int) -> DataFrame:
     n_open = light.agg(F.sum(F.size("open"))).first()[0] or 0
     spans = written(merged(surroundings(texts, light), max(partitions(spark), n_open // TASK_CLASSES + 1)), "merged")
     if not heavy.where(F.size("open") > 0).isEmpty():
-        spans = spans.union(dealt_strings(written(surroundings(texts, heavy), "around")))
+        spans = spans.union(written(dealt_strings(written(surroundings(texts, heavy), "around")), "strings"))
     return found.where(F.size("again") > 0).select("slice", "again").unionByName(spans, allowMissingColumns=True)
 
 

@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -61,11 +62,28 @@ def test_mixing_repeats_whole_rows(stages):
     assert set(before) == set(after) and all(1 <= after[r] <= 2 * before[r] for r in before)
 
 
-def test_every_word_is_packed(spark, sf, stages):
-    words = sum(len((r["text"] or "").encode().split()) for r in stages[4].collect())
-    rows = stages[5].collect()
-    assert sum(r["n_tokens"] for r in rows) == words
-    assert all(r["bin_offset"] + r["n_tokens"] <= r["used"] <= r["capacity"] for r in rows)
+def test_sequences_give_back_every_document(spark, sf, stages):
+    """Each row of the stage before, empty ones too, is its token ids and an end, whole and in one order of pieces."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = sorted((r["doc_id"], tuple(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) + (corpus_pipeline.END_ID,)) for r in stages[4].collect())
+    pieces = {}
+    for r in stages[5].collect():
+        pieces.setdefault((r["doc_id"], r["copy"]), []).append((r["start"], r["n_tokens"], np.frombuffer(bytes(r["ids"]), "<u2").tolist(), r["bin_id"], r["bin_offset"]))
+    got, placed = [], {}
+    for (doc, _), parts in pieces.items():
+        parts.sort()
+        assert [p[0] for p in parts] == [sum(q[1] for q in parts[:i]) for i in range(len(parts))]
+        got.append((doc, tuple(i for p in parts for i in p[2])))
+        for _, _, ids, bin_id, offset in parts:
+            placed.setdefault(bin_id, []).append((offset, ids))
+    assert sorted(got) == want
+    for r in packing.sequences(stages[5]).collect():
+        assert r["used"] <= r["capacity"]
+        assert np.frombuffer(bytes(r["ids"]), "<u2").tolist() == [i for _, ids in sorted(placed[r["bin_id"]]) for i in ids]
+
 
 
 def test_run_applies_the_stages(spark, sf, stages):

@@ -18,3 +18,10 @@ def test_rows_come_in_order_of_progress(spark):
         order.append(at[i][seen[i]])
         seen[i] += 1
     assert order == sorted(order)
+
+
+def test_rows_without_an_id_are_dealt_to_many_blocks(spark):
+    docs = spark.createDataFrame([(None, "s", f"word {i} " * 3) for i in range(300)] + [(None, "s", "same")] * 2, "doc_id long, source string, text string")
+    got = mixing.mix(docs).collect()
+    assert len({r["mix_block"] for r in got}) > 8 and len({r["mix_block"] for r in got if r["text"] == "same"}) == 1
+    assert sorted(r["text"] for r in mixing.mix(docs, marks=False).collect()) == sorted(r["text"] for r in got)

@@ -81,14 +81,14 @@ def test_embeddings_against_all_pairs(spark, sf):
     got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(spark.read.parquet(f"{sf}/embeddings.parquet")).collect()}
     assert set(got) == {r["vec_id"] for r in rows}
     found = sum(r["n_links"] for r in got.values())
-    assert 0.95 * 2 * len(links) <= found <= 2 * len(links)
+    assert found == 2 * len(links)
     degree = {i: 0 for i in got}
     for a, b in links:
         degree[a] += 1
         degree[b] += 1
     assert all(got[i]["n_links"] <= degree[i] for i in got)
     full = least_reachable(got, links)
-    assert sum(got[i]["component_id"] == full[i] for i in got) >= 0.95 * len(got)
+    assert all(got[i]["component_id"] == full[i] for i in got)
     assert all(full[got[i]["component_id"]] == full[i] for i in got)
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
 
@@ -106,7 +106,7 @@ def test_crowded_embeddings_lose_no_link(spark):
     assert all((got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True) for i, _ in odd)
     near = cosines(np.array(vectors, dtype=np.float32)) >= 0.9
     want = near.sum(axis=1) - 1
-    assert sum(got[i]["n_links"] for i, _ in rows) >= 0.97 * want.sum()
+    assert sum(got[i]["n_links"] for i, _ in rows) == want.sum()
     assert all(got[i]["n_links"] <= want[i] for i, _ in rows)
     links = [(a, b) for a, b in zip(*np.nonzero(near), strict=True) if a < b]
     full = least_reachable(range(len(rows)), links)

@@ -38,3 +38,15 @@ def test_the_cache_size_changes_nothing(encode, monkeypatch):
 def test_any_text(text):
     encode = records.encoder(PATH, "<u2")
     assert encode([text]) == [plain(encode, text)]
+
+
+def test_other_vocabularies_take_their_own_way():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    other, encode = Tokenizer.from_file(path), records.encoder(path, "<u2")
+    texts = ["The quick  Brown fox's", "", "été 123\n x", "A"]
+    for text, found in zip(texts, encode(texts), strict=True):
+        assert np.frombuffer(found, "<u2").tolist() == other.encode(text, add_special_tokens=False).ids
+    with pytest.raises(ValueError, match="don't fit"):
+        records.Encoder(path, "u1")

@@ -153,6 +153,11 @@ def energy_prob(energy: np.ndarray) -> np.ndarray:
     return np.clip((energy - FLOOR) / (CEILING - FLOOR), 0, 1)
 
 
+def energy_probability(energy: Column) -> Column:
+    """energy_prob() of a column."""
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (energy - FLOOR) / (CEILING - FLOOR)))
+
+
 def tone(seconds: float, kind: str = "sine", seed: int = 0) -> np.ndarray:
     """A test clip; its seed shifts pitch and phase of a sine, or seeds the noise."""
     n = max(1, round(seconds * RATE))

@@ -97,7 +97,9 @@ def unfence(text: Column) -> Column:
 
 def match_emotion(text: Column) -> Column:
     """The label that a text is, punctuation aside, else the first label whose name is a word of it, else empty."""
-    return let(F.lower(F.coalesce(text, F.lit(""))), _match_lower)
+    # every label's first word is among these, so one look tells most texts that name none
+    names = "|".join(name.lower().split("/")[0] for name in EMOTIONS)
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.when(low.rlike(rf"(?U)\b(?:{names})\b"), _match_lower(low)).otherwise(""))
 
 
 def _match_lower(low: Column) -> Column:

@@ -19,7 +19,12 @@ ODD = r"""[^\p{L}\p{N} ,.;:!?'"\-/]"""
 def nfkc(text: pd.Series) -> pd.Series:
     from unicodedata import normalize as form
 
-    return text.map(lambda x: x if x is None or x.isascii() else form("NFKC", x))
+    return text.map(lambda x: None if x is None else form("NFKC", x))
+
+
+def in_nfkc(text: Column) -> Column:
+    """NFKC of a text. Only those with other characters than ASCII are sent to Python."""
+    return F.coalesce(nfkc(F.when(F.octet_length(text) != F.char_length(text), text)), text)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -46,7 +51,7 @@ def strip(c: Column) -> Column:
 def normalize(c: Column | str, *, unicode_form: bool = True) -> Column:
     """Comparable form of a transcript. ``unicode_form`` off keeps the whole expression in the JVM, for text known to be in NFKC."""
     text = text_or_empty(c)
-    text = F.lower(strip(nfkc(text) if unicode_form else text))
+    text = F.lower(strip(in_nfkc(text) if unicode_form else text))
     text = F.translate(text, WIDE, NARROW)
     text = F.regexp_replace(text, DECORATION, " ")
     text = F.regexp_replace(text, FILLERS, " ")

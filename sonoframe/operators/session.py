@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,15 +19,16 @@ def as_of(events: DataFrame, controls: DataFrame, session: str, order: str, colu
     wanted = {c: controls.schema[c].dataType for c in columns}
     left = events.select("*", F.lit(1).alias("_side"), *[F.lit(None).cast(t).alias(f"_{c}") for c, t in wanted.items()])
     right = controls.select(session, order, F.lit(0).alias("_side"), *[F.col(c).alias(f"_{c}") for c in columns])
-    w = Window.partitionBy(session).orderBy(order, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    # controls at one place come in order of their values, so the last of them is the same in every run
+    w = Window.partitionBy(session).orderBy(order, "_side", *[f"_{c}" for c in columns]).rowsBetween(Window.unboundedPreceding, 0)
     both = left.unionByName(right, allowMissingColumns=True)
     carried = both.withColumns({f"{c}_as_of": F.last(f"_{c}", ignorenulls=True).over(w) for c in columns})
     return carried.where("_side = 1").drop("_side", *[f"_{c}" for c in columns])
 
 
 def started(messages: DataFrame, session: str, order: str, kind: Column) -> DataFrame:
-    """Rows from each session's first start on, up to its first stop; later starts are left out."""
-    w = Window.partitionBy(session).orderBy(order)
+    """Rows from each session's first start on, up to its first stop; later starts are left out. Rows at one place come in order of their kind."""
+    w = Window.partitionBy(session).orderBy(order, kind)
     upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     start, stop = F.when(kind == "start", 1).otherwise(0), F.when(kind == "stop", 1).otherwise(0)
     df = messages.withColumns({"_on": F.max(start).over(upto), "_again": F.coalesce(F.sum(start).over(before), F.lit(0)), "_off": F.coalesce(F.max(stop).over(before), F.lit(0))})
@@ -66,17 +70,27 @@ def utterances(frames: DataFrame, session: str, order: list[str], speaking: str
 
 
 def single_flight(snapshots: DataFrame, session: str, at: str, took: str, interval: float = 0.0) -> DataFrame:
-    """Snapshots (session, at, took) that are sent: none while the one before is in flight, nor within ``interval`` of its start.
+    """Snapshots (session, at) that are sent: none while the one before is in flight, nor within ``interval`` of its start; of several at one time the quickest counts.
 
-    What a session sends depends on what it sent before, so its snapshots are folded in order, in one row.
+    What a session sends depends on what it sent before: a task runs along its sessions' snapshots in order, with one
+    number in hand.
     """
-    def step(acc: Column, x: Column) -> Column:
-        go = acc["free"].isNull() | (x["at"] >= acc["free"])
-        return F.struct(F.when(go, F.greatest(x["at"] + x["took"], x["at"] + interval)).otherwise(acc["free"]).alias("free"), F.when(go, F.concat(acc["sent"], F.array(x["at"]))).otherwise(acc["sent"]).alias("sent"))
-
-    start = F.struct(F.lit(None).cast("double").alias("free"), F.array().cast("array<double>").alias("sent"))
-    order = F.array_sort(F.collect_list(F.struct(F.col(at).cast("double").alias("at"), F.col(took).cast("double").alias("took"))))
-    return snapshots.groupBy(session).agg(F.aggregate(order, start, step, lambda acc: acc["sent"]).alias("_sent")).select(session, F.explode("_sent").alias(at))
+    kind = snapshots.schema[session].dataType.simpleString()
+    dealt = snapshots.select(F.col(session).alias("_s"), F.col(at).cast("double").alias("_at"), F.col(took).cast("double").alias("_took")).repartition(F.col("_s")).sortWithinPartitions("_s", "_at", "_took")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, free, first = None, None, True
+        for batch in batches:
+            sent = []
+            for s, t, n in zip(batch["_s"].tolist(), batch["_at"].tolist(), batch["_took"].tolist(), strict=True):
+                if first or s != now:
+                    now, free, first = s, None, False
+                if free is None or t >= free:
+                    free = max(t + n, t + interval)
+                    sent.append((s, t))
+            yield pd.DataFrame(sent, columns=[session, at])
+
+    return dealt.mapInPandas(run, f"{session} {kind}, {at} double")
 
 
 def latest_wins(partials: DataFrame, session: str, arrival: str, seq: str) -> DataFrame:

@@ -48,7 +48,10 @@ class AudioStream(Protocol):
 
 @dataclass
 class SegmentStream:
-    """Speech segments. ``before`` gives the bytes of the open segment that an earlier object was fed, where this one continues it."""
+    """Speech segments. ``before`` gives the bytes of the open segment that an earlier object was fed, where this one continues it.
+
+    Bytes of a ``rate`` of 48,000 are brought to 16,000 first; what the filter needs of the past goes with the object.
+    """
 
     rules: Rules
     params: Params = Params()
@@ -59,6 +62,9 @@ class SegmentStream:
     n: int = 0
     utterances: int = 0
     before: Callable[[], bytes] = bytes
+    rate: int = au.RATE
+    #: the filter's history and rest, and the odd byte of a chunk cut within a sample
+    line: tuple[bytes, bytes, bytes] = (b"", b"", b"")
     #: bytes of the open segment since this object was made, and whether the segment is older than that
     fresh: list[bytes] = field(default_factory=list)
     older: bool = False
@@ -75,8 +81,17 @@ class SegmentStream:
     def least(self) -> int:
         return 2 * int(self.params.sample_rate * self.params.min_segment_ms / 1000)
 
+    def decimated(self, data: bytes) -> bytes:
+        history, rest, odd = self.line
+        data = odd + data
+        even = len(data) // 2 * 2
+        decimator = au.Decimator(state=(history, rest) if history else None)
+        out = au.to_pcm16(decimator.feed(au.pcm16(data[:even])))
+        self.line = (*decimator.state, data[even:])
+        return out
+
     def feed(self, data: bytes) -> list[Heard]:
-        data = self.carry + data
+        data = self.carry + (self.decimated(data) if self.rate == 3 * au.RATE else data)
         whole = len(data) // self.size * self.size
         self.carry, data = data[whole:], data[:whole]
         if not data:

@@ -194,8 +194,4 @@ def resample_lines(spark, sf_dir):
 
 @query("energy_to_probability", "SELECT event_id, round(least(1.0, greatest(0.0, (value / 1000 - 0.008) / (0.06 - 0.008)))::DOUBLE, 6) AS prob FROM events")
 def energy_to_probability(spark, sf_dir):
-    @F.pandas_udf("double")
-    def mapped(energy: pd.Series) -> pd.Series:
-        return pd.Series(audio.energy_prob(energy.to_numpy()))
-
-    return table(spark, sf_dir, "events").select("event_id", F.round(mapped(F.col("value") / 1000), 6).alias("prob"))
+    return table(spark, sf_dir, "events").select("event_id", F.round(audio.energy_probability(F.col("value") / 1000), 6).alias("prob"))

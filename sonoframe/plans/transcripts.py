@@ -127,6 +127,16 @@ def hotword_short(spark, sf_dir):
     return listed(spark, sf_dir).select("conv_id", "turn", F.size(hw.short_enough(F.col("words"))).alias("n"))
 
 
+@query("highlighted_html", r"""
+SELECT conv_id, turn, regexp_replace(replace(replace(replace(coalesce(text, '') || '<' || coalesce(role, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(then|the|er|USER|ontion)', '<mark class="hotword-hit">\1</mark>', 'gi') AS html FROM conversations""")
+def highlighted_html(spark, sf_dir):
+    """Texts as HTML with several hotwords marked, some within others, whatever their case and the spaces around them."""
+    shown = F.concat(F.coalesce("text", F.lit("")), F.lit("<"), F.coalesce("role", F.lit("")))
+    words = F.array(*[F.lit(w) for w in ("the", " Then ", "er", "user", "ONTION", "")])
+    marked = turns(spark, sf_dir).select("conv_id", "turn", shown.alias("shown")).withColumn("spans", hw.highlight_spans("shown", words))
+    return marked.select("conv_id", "turn", hw.highlighted(F.col("shown"), F.col("spans")).alias("html"))
+
+
 @query("highlight_count", "SELECT conv_id, turn, ((length(coalesce(text, '')) - length(replace(lower(coalesce(text, '')), 'ontion', ''))) // 6)::INT AS hits FROM conversations")
 def highlight_count(spark, sf_dir):
     return turns(spark, sf_dir).select("conv_id", "turn", hw.highlight_count(F.col("text"), F.array(F.lit("Ontion"))).alias("hits"))

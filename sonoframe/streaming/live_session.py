@@ -36,6 +36,7 @@ COLUMNS = [c.split()[0] for c in OUT.split(", ")]
 #: A machine's members, then those of the segment stream and of the session.
 VALUES = (
     "average double, speaking boolean, count long, quiet long, held long, start long, idx long, carry binary, ring binary, segments long, utterances long, "
+    "history binary, rest binary, odd binary, "
     "epoch long, now long, next_seq long, partial_at long, begun boolean, over boolean, said long, controls string, gap_due long, idle_due long"
 )
 #: What a segment says: its text, or nothing; it is called with the bytes, the controls that hold, and whether it is final.
@@ -45,10 +46,10 @@ Respond = Callable[[bytes, dict, bool], str | None]
 class Sessions(StatefulProcessor):
     """The operator's state machine; see live_sessions() for what its settings mean."""
 
-    def __init__(self, rules: Rules, params: Params, detector: Detector, respond: Respond | None, need_start: bool, partial_ms: int, ends: bool, gap_ms: int, timeout_ms: int, event_time: bool):
+    def __init__(self, rules: Rules, params: Params, detector: Detector, respond: Respond | None, need_start: bool, partial_ms: int, ends: bool, gap_ms: int, timeout_ms: int, event_time: bool, rate: int):
         self.rules, self.params, self.detector, self.respond = rules, params, detector, respond
         self.need_start, self.partial_ms, self.ends = need_start, partial_ms, ends
-        self.gap_ms, self.timeout_ms, self.event_time = gap_ms, timeout_ms, event_time
+        self.gap_ms, self.timeout_ms, self.event_time, self.rate = gap_ms, timeout_ms, event_time, rate
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -59,12 +60,12 @@ class Sessions(StatefulProcessor):
     # -- one session's members, for the length of a call
 
     def load(self, key: str, now: int) -> None:
-        v = self.values.get() if self.values.exists() else (None, False, 0, 0, 0, 0, -1, b"", b"", 0, 0, now, now, 0, None, False, False, 0, "{}", None, None)
+        v = self.values.get() if self.values.exists() else (None, False, 0, 0, 0, 0, -1, b"", b"", 0, 0, b"", b"", b"", now, now, 0, None, False, False, 0, "{}", None, None)
         machine = Machine(self.rules, v[0], *v[1:7])
         self.key, self.out = key, []
-        self.sound = SegmentStream(self.rules, self.params, self.detector, machine, bytes(v[7]), bytes(v[8]), v[9], v[10], before=lambda: b"".join(bytes(r[0]) for r in self.open.get()))
-        self.epoch, self.now, self.next, self.partial_at, self.begun, self.over, self.said = v[11:18]
-        self.controls, self.gap_due, self.idle_due = json.loads(v[18]), v[19], v[20]
+        self.sound = SegmentStream(self.rules, self.params, self.detector, machine, bytes(v[7]), bytes(v[8]), v[9], v[10], before=lambda: b"".join(bytes(r[0]) for r in self.open.get()), rate=self.rate, line=tuple(map(bytes, v[11:14])))
+        self.epoch, self.now, self.next, self.partial_at, self.begun, self.over, self.said = v[14:21]
+        self.controls, self.gap_due, self.idle_due = json.loads(v[21]), v[22], v[23]
 
     def store(self) -> None:
         s, m = self.sound, self.sound.machine
@@ -73,7 +74,7 @@ class Sessions(StatefulProcessor):
         elif s.fresh:
             piece = (b"".join(s.fresh),)
             self.open.appendValue(piece) if s.older else self.open.put([piece])
-        values = (m.average, m.speaking, m.count, m.quiet, m.held, m.start, m.index, s.carry, s.ring, s.n, s.utterances)
+        values = (m.average, m.speaking, m.count, m.quiet, m.held, m.start, m.index, s.carry, s.ring, s.n, s.utterances, *s.line)
         self.values.update((*values, self.epoch, self.now, self.next, self.partial_at, self.begun, self.over, self.said, json.dumps(self.controls), self.gap_due, self.idle_due))
 
     def due(self, name: str, at: int | None) -> None:
@@ -205,16 +206,18 @@ def live_sessions(
     gap_ms: int = 2_000,
     timeout_ms: int = 600_000,
     late: str | None = None,
+    rate: int = 16_000,
 ) -> DataFrame:
     """Segments with their sound, partials and ends of a stream of (session_id, seq, at, kind, payload, body).
 
     ``respond`` turns a segment into text; without one each segment counts as said. With it, segments without text
     aren't put out. ``partial_ms`` above 0 sends the open segment at most once in so many milliseconds. ``ends`` is
     off for tasks that end without a message. With ``late``, an interval such as "5 seconds", time is that of ``at``
-    and its watermark; without it, the cluster's clock. Needs the RocksDB state store.
+    and its watermark; without it, the cluster's clock. ``rate`` is that of the
+    bytes, 16,000 or 48,000. Needs the RocksDB state store.
     """
     wanted = rows.select("session_id", "seq", "at", "kind", "payload", "body")
     if late is not None:
         wanted = wanted.withWatermark("at", late)
-    made = Sessions(rules, params, detector, respond, need_start, partial_ms, ends, gap_ms, timeout_ms, late is not None)
+    made = Sessions(rules, params, detector, respond, need_start, partial_ms, ends, gap_ms, timeout_ms, late is not None, rate)
     return wanted.groupBy("session_id").transformWithStateInPandas(made, OUT, "append", "EventTime" if late is not None else "ProcessingTime")

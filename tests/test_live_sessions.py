@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import json
 import random
 from datetime import UTC, datetime, timedelta
@@ -12,7 +13,8 @@ import pytest
 from sonoframe.functions import audio as au
 from sonoframe.operators import streams, vad
 from sonoframe.params import Params
-from sonoframe.streaming import live_session
+from sonoframe.sources import live
+from sonoframe.streaming import live_session, tasks
 
 RULES = vad.Rules(0.65, 0.0, 2, 3, 1, 2)
 PARAMS = Params().override({"hop": 10, "min_segment_ms": 0})
@@ -125,3 +127,65 @@ def test_partials_keep_their_distance_in_time(streaming, tmp_path):
     assert [(r["start_frame"], r["end_frame"]) for r in partials] == [(0, 1), (0, 11), (0, 21)]
     assert [len(r["pcm"]) for r in partials] == [40, 240, 440]
     assert bytes(partials[2]["pcm"]) == b"".join(f[4] for f in frames[:22])
+
+
+def test_captures_of_a_killed_stream_are_read_once(streaming, tmp_path):
+    rng = random.Random(4)
+    folder, out = tmp_path / "captures", tmp_path / "out"
+    folder.mkdir()
+    loud, quiet = sound("0111000"), sound("00")
+    chunks = cut(loud, rng)
+
+    def line(session, seq, text=None, data=None):
+        return json.dumps({"session_id": session, "seq": seq, "at": f"2024-01-01T00:00:{seq:02d}Z", **({"text": json.dumps(text)} if text else {"audio_b64": base64.b64encode(data).decode()})}) + "\n"
+
+    lines = [line("a", 0, {"type": "start", "hotwords": ["x"], "language": "Thai"}), *[line("a", 1 + i, data=c) for i, c in enumerate(chunks)]]
+    lines += [line("b", 0, {"type": "start"}), line("b", 1, {"type": "ping"}), line("b", 2, data=quiet), line("b", 3, {"type": "stop"})]
+    lines += [line("a", len(chunks) + 1, {"type": "update_hotwords", "hotwords": ["y"], "src_lang": "English"}), line("a", len(chunks) + 2, {"type": "stop"})]
+    rng.shuffle(lines)
+    half = len(lines) // 2
+    calls = []
+
+    def go(name):
+        rows, rate = live.task_stream(streaming, str(folder), "asr", files_per_batch=1)
+        found = tasks.live_messages(rows, "asr", lambda pcm, controls, final: f"{len(pcm)} {controls['hotwords']}", PARAMS, rules=RULES, partials=False, need_start=True, late="1 hour", rate=rate)
+        q = found.writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        assert q.awaitTermination(240)
+        calls.append(name)
+
+    (folder / "1.json").write_text("".join(lines[:half]))
+    go("first")
+    (folder / "2.json").write_text("".join(lines[half:]))
+    go("second")
+    go("third")
+    got = sorted((r["session_id"], r["kind"], r["message"]) for r in streaming.read.parquet(str(out)).collect())
+    assert got == [("a", "final", '{"type":"final","text":"80 [\'x\']","language":"Thai"}'), ("b", "end", '{"type":"final","text":"","language":""}')]
+
+
+def test_bytes_at_48_khz_give_the_segments_of_16(streaming, tmp_path):
+    rng = random.Random(6)
+    wide = np.repeat(au.pcm16(sound("0001111110000011111000")), 3)
+    data = au.to_pcm16(wide)
+    whole = au.to_pcm16(au.Decimator().feed(au.pcm16(data)))
+    chunks = cut(data, rng)
+    rows = [row("s", i, payload=c) for i, c in enumerate(chunks)] + [row("s", len(chunks), "stop")]
+    rng.shuffle(rows)
+    got = run(streaming, tmp_path, [rows[i::3] for i in range(3)], "wide", late="1 hour", gap_ms=10**9, timeout_ms=10**9, rate=48_000)
+    assert len(got) == 2
+    for r in got:
+        assert bytes(r["pcm"]) == whole[20 * r["start_frame"] : 20 * (r["end_frame"] + 1)]
+
+
+def test_messages_of_the_other_tasks(streaming, tmp_path):
+    loud = sound("0111000")
+    batch = [row("s", 0, "start", body=json.dumps({"language": "Thai"})), row("s", 1, payload=loud), row("s", 2, "stop"), row("q", 0, payload=sound("000")), row("q", 1, "stop")]
+    for task, want in (("emotion", {"s"}), ("tsasr", {"s", "q"})):
+        folder = tmp_path / task / "in"
+        streaming.createDataFrame(batch, SCHEMA).coalesce(1).write.parquet(str(folder))
+        stream = streaming.readStream.schema(SCHEMA).parquet(str(folder))
+        found = tasks.live_messages(stream, task, lambda pcm, controls, final: "Sad", PARAMS, rules=RULES, late="1 hour")
+        q = found.writeStream.format("memory").queryName(f"messages_{task}").option("checkpointLocation", str(tmp_path / task / "cp")).trigger(availableNow=True).start()
+        assert q.awaitTermination(200)
+        got = {r["session_id"]: json.loads(r["message"]) for r in streaming.table(f"messages_{task}").where("kind <> 'partial'").collect()}
+        assert set(got) == want and got["s"]["text"] == "Sad" and got["s"]["language"] == "Thai"
+        assert task == "emotion" or (got["q"]["task"] == "tsasr" and got["q"]["text"] == "")

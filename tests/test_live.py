@@ -124,7 +124,7 @@ def test_a_task_without_parts_puts_out_nothing(spark):
 
 
 def test_emotion_and_target_tasks(spark):
-    segments = spark.createDataFrame([("s", 1, "g", bytearray(4), "Thai"), ("t", 1, "h", bytearray(4), "")], "session_id string, place long, segment_id string, pcm binary, language string")
+    segments = spark.createDataFrame([("s", 1, "g", bytearray(4), "Thai"), ("t", 1, "h", bytearray(au.to_pcm16(au.tone(1.0) * 8)), "")], "session_id string, place long, segment_id string, pcm binary, language string")
     sessions = spark.createDataFrame([("s", True, ""), ("t", True, ""), ("u", True, "Thai"), ("v", False, "")], "session_id string, stopped boolean, language string")
     label = lambda clips: clips.where("session_id = 's'").select("segment_id", F.lit("Sad").alias("label"), F.lit("Sad").alias("text"), F.lit("Sad").alias("raw_text"))
     got = {r["session_id"]: json.loads(r["message"]) for r in engine.run(engine.Emotion(label), segments, sessions=sessions).collect()}

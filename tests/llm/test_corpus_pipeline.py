@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from sonoframe.llm import packing
 from sonoframe.llm.common import written
 from tests_brute import least_reachable, plain_fingerprint, plain_repeats
 

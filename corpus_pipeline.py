@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sonoframe.llm import mixing, packing, simhash, suffix_dedup, toxicity
-from sonoframe.llm.common import scratch_paths, small_batches, stored_at, sweep, written
+from sonoframe.llm.common import scratch_paths, stored_at, sweep, written
 
 #: Fixed by the vocabulary: what ends a document.
 END_ID = 2
@@ -21,20 +21,17 @@ FOLDS, HELD_OUT = 5, 0
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from this corpus's labels, doesn't hold to be toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    with small_batches(spark):
-        return written(toxicity.without_toxic(docs, toxicity.train(*toxicity.labelled_sample(docs, labels, FOLDS, HELD_OUT))), "ordinary")
+    return toxicity.without_toxic(docs, toxicity.train(*toxicity.labelled_sample(docs, labels, FOLDS, HELD_OUT)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each SimHash component."""
-    with small_batches(spark):
-        return written(simhash.one_of_each(docs), "distinct")
+    return simhash.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes of repeated 100-byte strings; one that nothing is left of stays, empty."""
-    with small_batches(spark):
-        return written(suffix_dedup.without_repeats(docs), "cut")
+    return suffix_dedup.without_repeats(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +43,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """The token ids of all documents, each with its end, in bins of the permitted lengths; packing.sequences() puts them together. A document that became empty is its end alone."""
     import public_tokenizers
 
-    with small_batches(spark):
-        return written(packing.pack_documents(docs, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), end_id=END_ID), "packed")
+    return packing.pack_documents(docs, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), end_id=END_ID)
 
 
 STAGES = [

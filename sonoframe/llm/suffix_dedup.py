@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sonoframe.llm.common import ROW, drop, numbered, partitions, pieces, small_batches, stored_at, vacate, written
+from sonoframe.llm.common import ROW, drop, numbered, partitions, pieces, scratch_paths, small_batches, stored_at, sweep, vacate, written
 
 LENGTH = 100
 #: The perfect difference set of order 8: each residue but 0 is the difference of exactly one pair.
@@ -539,13 +539,16 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # the other columns travel by themselves: the text that comes back is another one
     others = F.struct(*[c for c in docs.columns if c != text_col]) if len(docs.columns) > 1 else F.lit(None)
     rows, _ = numbered(docs.select(others.alias("doc"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    kept = remove_repeats(rows, id_col=ROW)
+    before = scratch_paths()
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.decode("utf-8", "ignore") for x in batch.column(1).to_pylist()], pa.string())], names=[ROW, "_kept"])
 
-    texts = kept.select(F.col("doc_id").alias(ROW), "kept").mapInArrow(decode, f"{ROW} long, _kept string")
+    # stored, so that the tables behind it can go before the rows are put together
+    with small_batches(docs.sparkSession):
+        texts = written(remove_repeats(rows, id_col=ROW).select(F.col("doc_id").alias(ROW), "kept").mapInArrow(decode, f"{ROW} long, _kept string"), "cut-texts")
+    sweep(docs.sparkSession, [*before, stored_at(texts)])
     new = {text_col: F.col("_kept")}
     if chars_col in docs.columns:
         new[chars_col] = F.length("_kept").cast(docs.schema[chars_col].dataType)

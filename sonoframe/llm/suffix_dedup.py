@@ -42,8 +42,8 @@ BEFORE = MODULUS - 1
 LEAST = LENGTH - BEFORE
 #: Bytes of text in a slice (a longer text is a slice of its own), and for each task that names are dealt to.
 SLICE_BYTES, NAMED_BYTES = 2 << 20, 16 << 20
-#: Names that so many slices have are dealt by their triples.
-HOT_SLICES = 64
+#: Names that so many slices have are dealt by their triples; one of fewer is little to a task that holds millions.
+HOT_SLICES = 1000
 #: Open places of one name that a task sorts; beyond, strings are dealt by their hash.
 GRAM_CLASSES = 20_000
 TASK_CLASSES = 40_000

@@ -289,7 +289,7 @@ def joined(spans: dict[str, Column]) -> Column:
     def written_as(k: str):
         return lambda p: F.concat_ws(":", F.lit(k), p["start"].cast("string"), p["end"].cast("string"))
 
-    return F.array_join(F.concat(*[F.transform(F.array_sort(F.array_distinct(s)), written_as(k)) for k, s in spans.items()]), ",")
+    return F.array_join(F.concat(*[F.transform(F.array_sort(s), written_as(k)) for k, s in spans.items()]), ",")
 
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -209,18 +210,25 @@ def rms(values: Column) -> Column:
     return F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")) / F.size(values))
 
 
-@F.pandas_udf(DECODED)
-def decode_wav(content: pd.Series) -> pd.DataFrame:
-    """16-bit mono samples at 16 kHz, their duration, or why there are none."""
+def decoder(cut: Callable[[bytes], bytes] | None = None):
+    """A UDF: 16-bit mono samples at 16 kHz of a WAV file, their duration, or why there are none. ``cut`` shortens the samples in the same pass; the duration is that of all."""
 
-    def one(data: bytes | None) -> tuple:
-        try:
-            x = read_wav(data or b"")
-        except AudioError:
-            return None, None, "decode_failed"
-        return to_pcm16(x), len(x) / RATE, None
+    @F.pandas_udf(DECODED)
+    def decode(content: pd.Series) -> pd.DataFrame:
+        def one(data: bytes | None) -> tuple:
+            try:
+                x = read_wav(data or b"")
+            except AudioError:
+                return None, None, "decode_failed"
+            pcm = to_pcm16(x)
+            return pcm if cut is None else cut(pcm), len(x) / RATE, None
 
-    return pd.DataFrame([one(x) for x in content], columns=["pcm", "seconds", "error"])
+        return pd.DataFrame([one(x) for x in content], columns=["pcm", "seconds", "error"])
+
+    return decode
+
+
+decode_wav = decoder()
 
 
 @F.pandas_udf(T.BinaryType())

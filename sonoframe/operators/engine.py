@@ -65,6 +65,11 @@ def as_column(value: Column | str) -> Column:
     return F.lit(value) if isinstance(value, str) else value
 
 
+def matched(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """A join of tables that grow with the clips, by sorting both. Spark guesses what Python makes of a table, and stored sound that compresses well, far too small, and would send it whole to every executor."""
+    return left.join(right.hint("merge"), key, how)
+
+
 def ended(task: str, sessions: DataFrame, outputs: DataFrame, mode: str = "ser", streaming: bool = False) -> DataFrame:
     known = sessions.select("session_id", "stopped", "language", F.lit(task).alias("task"), F.lit(mode).alias("mode"), F.lit(streaming).alias("streaming"))
     return session.terminators(known, outputs, "session_id").select("session_id", F.lit(None).cast("long").alias("place"), "message")
@@ -77,7 +82,7 @@ def transcribed(clips: DataFrame, key: str, primary: Model | None, secondary: Mo
     pairs = fusion.pair_hypotheses(first, second, key)
     second_heard = strip(text_or_empty("secondary_text")) != ""
     texts = fusion.final_text(pairs, params, hotwords=hotwords, similarity=similarity).select(key, strip(F.col("final")).alias("final"), second_heard.alias("second"))
-    return clips.join(texts, key).join(first.select(key, F.col("detected_language").alias("detected")), key, "left")
+    return matched(matched(clips, texts, key), first.select(key, F.col("detected_language").alias("detected")), key, "left")
 
 
 class Transcription(Task):
@@ -121,7 +126,7 @@ class TargetTranscription(Task):
     def final(self, segments: DataFrame) -> DataFrame:
         clips = segments.withColumn("pcm", au.tail_cap_pcm(F.col("pcm"), self.params.target_max_sec))
         known = session.with_enrollment(gated(clips, self.params), self.usable(), "session_id")
-        said = known.join(self.model(known).select("segment_id", strip(text_or_empty("text")).alias("text"), "detected_language"), "segment_id")
+        said = matched(known, self.model(known).select("segment_id", strip(text_or_empty("text")).alias("text"), "detected_language"), "segment_id")
         said = session.numbered_outputs(said, "session_id", ["place"])
         language = fusion.detected_or(F.col("detected_language"), F.col("language"))
         message = messages.target_final(F.col("session_id"), F.col("ordinal"), F.col("text"), language, F.base64(au.encode_wav("pcm")), F.octet_length("pcm") / (2 * au.RATE))
@@ -159,7 +164,7 @@ class Emotion(Task):
 
     def final(self, segments: DataFrame) -> DataFrame:
         clips = segments.withColumn("pcm", au.tail_cap_pcm(F.col("pcm"), self.params.emotion_max_sec))
-        found = clips.join(self.model(clips).select("segment_id", "label", "text", "raw_text"), "segment_id")
+        found = matched(clips, self.model(clips).select("segment_id", "label", "text", "raw_text"), "segment_id")
         message = messages.emotion_final(F.lit(self.mode), F.col("label"), F.col("text"), F.col("raw_text"), F.col("language"), F.octet_length("pcm") / (2 * au.RATE))
         return found.select("session_id", "place", message.alias("message"))
 
@@ -168,15 +173,17 @@ class Emotion(Task):
 
 
 def uploaded(files: DataFrame, answer: Callable[[DataFrame], DataFrame], params: Params = Params()) -> DataFrame:
-    """(path, status, message) of each file: ``answer`` maps readable clips to (path, message); the others, and those without an answer, have a status only.
+    """(path, status, message) of each file: ``answer`` maps readable clips to (path, message[, refused]), where ``refused`` says that the message tells why there is no result; the others, and those without an answer, have a status only.
 
     Files are decoded once: all models and branches read the stored clips.
     """
     clips = stored(validate_uploads(files, params), "clips")
     good = clips.where("error IS NULL")
-    both = clips.select("path", "error").join(answer(good), "path", "left")
+    answers = answer(good)
+    both = matched(clips.select("path", "error"), answers, "path", "left")
     error = F.coalesce("error", F.when(F.col("message").isNull(), "failed"))
-    status = F.coalesce(*[F.when(error == name, F.lit(code)) for name, code in STATUS.items()], F.lit(200))
+    done = F.when(F.col("refused"), F.lit(REFUSED)).otherwise(F.lit(200)) if "refused" in answers.columns else F.lit(200)
+    status = F.coalesce(*[F.when(error == name, F.lit(code)) for name, code in STATUS.items()], done)
     return both.select("path", status.alias("status"), "message")
 
 
@@ -194,7 +201,7 @@ def emotion_of_uploads(files: DataFrame, model: Model, mode: str = "ser", params
     """Uploaded files and one label or description of each: (path, status, message)."""
 
     def answer(clips: DataFrame) -> DataFrame:
-        found = clips.join(model(clips).select("path", "label", "text", "raw_text"), "path")
+        found = matched(clips, model(clips).select("path", "label", "text", "raw_text"), "path")
         return found.select("path", messages.emotion_final(F.lit(mode), F.col("label"), F.col("text"), F.col("raw_text"), as_column(language), F.col("seconds")).alias("message"))
 
     return uploaded(files, answer, params.override({"upload_max_sec": params.emotion_max_sec}))
@@ -209,20 +216,19 @@ def target_uploads(files: DataFrame, model: Model, enrollments: DataFrame, param
     sent = enrollments.withColumnRenamed("path", "session_id")
     if "format" not in sent.columns:
         sent = sent.withColumn("format", F.lit("wav"))
-    decoded = decode_enrollments(sent, params).select(F.col("session_id").alias("path"), F.col("pcm").alias("enrollment"), F.col("error").alias("refused"))
+    decoded = decode_enrollments(sent, params).select(F.col("session_id").alias("path"), F.col("pcm").alias("enrollment"), F.when(F.col("pcm").isNull(), F.coalesce("error", F.lit("missing"))).alias("refused"))
     if "voice_traits" in enrollments.columns:
-        decoded = decoded.join(enrollments.select("path", "voice_traits"), "path")
-    asked = files.join(decoded, "path", "left").withColumn("refused", F.when(F.col("enrollment").isNull(), F.coalesce("refused", F.lit("missing"))))
-    capped = params.override({"upload_max_sec": params.target_max_sec})
-    # a file is looked at first, its enrollment next; only what passes both is decoded for the model
-    told = asked.where("refused IS NOT NULL")
-    refused = uploaded(told.select("path", "length", "content"), lambda clips: clips.join(told.select("path", "refused"), "path").select("path", messages.refused_enrollment(F.col("refused")).alias("message")), capped)
-    refused = refused.withColumn("status", F.when(F.col("message").isNotNull(), F.lit(REFUSED)).otherwise(F.col("status")))
+        decoded = matched(decoded, enrollments.select("path", "voice_traits"), "path")
+    # decoded once, like the files: what is told and what the model is asked both read it
+    decoded = stored(decoded.withColumn("sent", F.lit(True)), "enrollments")
 
     def answer(clips: DataFrame) -> DataFrame:
-        known = clips.join(decoded.drop("refused"), "path")
-        said = known.join(model(known).select("path", strip(text_or_empty("text")).alias("text"), "detected_language"), "path")
+        # a file is looked at first, its enrollment next; only what passes both reaches the model
+        asked = matched(clips, decoded, "path", "left").withColumn("refused", F.when(F.col("sent"), F.col("refused")).otherwise("missing")).drop("sent")
+        known = asked.where("refused IS NULL").drop("refused")
+        said = matched(known, model(known).select("path", strip(text_or_empty("text")).alias("text"), "detected_language"), "path")
         message = messages.target_upload(F.col("text"), fusion.detected_or(F.col("detected_language"), as_column(language)), F.col("seconds"), F.base64(au.encode_wav("pcm")))
-        return said.select("path", message.alias("message"))
+        told = asked.where("refused IS NOT NULL").select("path", messages.refused_enrollment(F.col("refused")).alias("message"), F.lit(True).alias("refused"))
+        return said.select("path", message.alias("message"), F.lit(False).alias("refused")).union(told)
 
-    return uploaded(asked.where("refused IS NULL").select("path", "length", "content"), answer, capped).union(refused)
+    return uploaded(files, answer, params.override({"upload_max_sec": params.target_max_sec}))

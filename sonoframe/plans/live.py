@@ -6,7 +6,7 @@ Events stand for chunks, controls and frames, turns of conversations for what tw
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonoframe.functions import audio as au
@@ -207,16 +207,17 @@ def wav_widths(spark, sf_dir):
 
 # -- clips that come whole
 
-def wav_files(batches):
-    """(event_id, content): a silent clip of ``n`` samples, or as many bytes that aren't one where ``n`` is negative."""
-    import numpy as np
-
-    for b in batches:
-        yield pd.DataFrame({"event_id": b["event_id"], "content": [au.wav(np.zeros(n, np.float32)) if n >= 0 else b"x" * -n for n in b["n"].tolist()]})
+def little(number: Column) -> Column:
+    """Four bytes in hex, the low one first."""
+    digits = F.lpad(F.hex(number), 8, "0")
+    return F.concat(*[F.substring(digits, k, 2) for k in (7, 5, 3, 1)])
 
 
-def silent_clips(spark: SparkSession, sf_dir: str, n) -> DataFrame:
-    return events(spark, sf_dir).select("event_id", n.cast("long").alias("n")).mapInPandas(wav_files, "event_id long, content binary")
+def silent_clips(spark: SparkSession, sf_dir: str, n: Column) -> DataFrame:
+    """(event_id, content): a silent clip of ``n`` samples, or as many bytes that aren't one where ``n`` is negative."""
+    empty, size = au.wav([]).hex(), 2 * n.cast("long")
+    clip = F.unhex(F.concat(F.lit(empty[:8]), little(36 + size), F.lit(empty[16:80]), little(size), F.repeat(F.lit("00"), size.cast("int"))))
+    return events(spark, sf_dir).select("event_id", F.when(n >= 0, clip).otherwise(F.repeat(F.lit("x"), -n.cast("int")).cast("binary")).alias("content"))
 
 
 @query("upload_codes", """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -46,33 +46,28 @@ def enrollments(rows: DataFrame, params: Params = Params()) -> DataFrame:
     fmt = F.lower(F.trim(F.coalesce(F.nullif("format", F.lit("")), F.lit("wav"))))
     early = F.when(F.coalesce("audio_b64", F.lit("")) == "", "missing").when(fmt != "wav", "unsupported_format")
     content = F.when(early.isNull(), F.try_to_binary("audio_b64", F.lit("base64")))
-    df = rows.select("session_id", early.alias("early"), content.alias("content")).withColumn("got", au.decode_wav("content"))
-    df = df.withColumn("trimmed", trim_voiced(params)("got.pcm"))
-    seconds = F.octet_length("trimmed") / (2 * au.RATE)
+    df = rows.select("session_id", early.alias("early"), content.alias("content")).withColumn("got", au.decoder(trim_voiced(params))("content"))
+    seconds = F.octet_length("got.pcm") / (2 * au.RATE)
     short = F.when(F.col("got.seconds") == 0, "empty").when(seconds < params.enrollment_min_sec, "too_short")
     error = F.coalesce("early", "got.error", short)
-    return df.select("session_id", F.when(error.isNull(), F.col("trimmed")).alias("pcm"), F.when(error.isNull(), seconds).alias("seconds"), error.alias("error"))
+    return df.select("session_id", F.when(error.isNull(), F.col("got.pcm")).alias("pcm"), F.when(error.isNull(), seconds).alias("seconds"), error.alias("error"))
 
 
-def trim_voiced(params: Params):
-    """A UDF that cuts 16-bit samples over the longest enrollment to their first voiced part of that length."""
+def trim_voiced(params: Params) -> Callable[[bytes], bytes]:
+    """What cuts 16-bit samples over the longest enrollment to their first voiced part of that length."""
     target, rules, hop = int(params.enrollment_max_sec * au.RATE), Rules.of(params), params.hop
 
-    @F.pandas_udf("binary")
-    def trim(pcm: pd.Series) -> pd.Series:
-        def one(data: bytes | None) -> bytes | None:
-            if data is None or len(data) <= 2 * target:
-                return data
-            machine, spans = Machine(rules), []
-            for p in au.energy_prob(au.frame_energy(au.pcm16(data), hop)).tolist():
-                spans.append(machine.step(p))
-            spans.append(machine.flush())
-            voiced = b"".join(data[2 * hop * s[0] : 2 * hop * (s[1] + 1)] for s in spans if s)
-            return (voiced or data)[: 2 * target]
-
-        return pcm.map(one)
-
-    return trim
+    def cut(data: bytes) -> bytes:
+        if len(data) <= 2 * target:
+            return data
+        machine, spans = Machine(rules), []
+        for p in au.energy_prob(au.frame_energy(au.pcm16(data), hop)).tolist():
+            spans.append(machine.step(p))
+        spans.append(machine.flush())
+        voiced = b"".join(data[2 * hop * s[0] : 2 * hop * (s[1] + 1)] for s in spans if s)
+        return (voiced or data)[: 2 * target]
+
+    return cut
 
 
 def pcm_frames(clips: DataFrame, session: str = "session_id", pcm: str = "pcm") -> DataFrame:

@@ -2,13 +2,15 @@
 
 A small table of words becomes an automaton that tasks run along their texts. A large one is joined by equality: each
 word is looked up by the one of its q-grams that the fewest words share, texts offer their distinct q-grams that any
-word is looked up by, and pairs that meet are checked. Both give the same rows.
+word is looked up by, and pairs that meet are checked. Tasks pass over what no word is looked up by with a table of
+bits, whose size doesn't depend on the words. Both give the same rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,8 +20,10 @@ from sonoframe.sources.scratch import drop, stored
 #: Letters of the words up to which an automaton is built: some 100 bytes a letter in each worker.
 AUTOMATON_LETTERS = 1_000_000
 GRAM = 5
-#: Places of a text that offer q-grams in one row.
-PIECE = 65_536
+#: Letters of texts whose q-grams are hashed at once.
+PIECE = 262_144
+#: The table of bits has two to this power, 2 MB, and not below 15; with many millions of q-grams it lets all pass, and the joins do the work.
+BITS = 24
 
 
 def mentions(texts: DataFrame, words: DataFrame, *, key: str = "doc_id", text: str = "text", word: str = "word", most_letters: int = AUTOMATON_LETTERS) -> DataFrame:
@@ -59,7 +63,7 @@ def by_automaton(texts: DataFrame, words: DataFrame, kind: str) -> DataFrame:
     return texts.mapInArrow(search, f"_key {kind}, word string")
 
 
-def by_grams(texts: DataFrame, words: DataFrame, gram: int = GRAM) -> DataFrame:
+def by_grams(texts: DataFrame, words: DataFrame, gram: int = GRAM, bits: int = BITS) -> DataFrame:
     """For any number of words. A q-gram that many words are looked up by is a skewed key of joins by equality, which adaptive execution splits."""
     # words shorter than a q-gram are looked up by themselves, and texts offer pieces of those lengths too
     size = F.least(F.length("word"), F.lit(gram))
@@ -68,17 +72,78 @@ def by_grams(texts: DataFrame, words: DataFrame, gram: int = GRAM) -> DataFrame:
     shared = grams.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = Window.partitionBy("word").orderBy("n", "gram")
     looked_up = stored(grams.join(shared, "gram").withColumn("_r", F.row_number().over(rarest)).where("_r = 1").select("word", "gram", "size"), "grams")
-    sizes = [r["size"] for r in looked_up.select("size").distinct().collect()]  # 1 to ``gram``
-    offered = None
-    for s in sorted(sizes):
-        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_text") - (s - 1)), F.lit(PIECE))
-        pieces = texts.where(F.length("_text") >= s).select("_key", F.explode(F.transform(starts, lambda p: F.substring(F.col("_text"), p, F.lit(PIECE + s - 1)))).alias("piece"))
-        # a match of no width at each place, whose group is the q-gram there
-        cut = F.array_distinct(F.regexp_extract_all("piece", F.lit(f"(?s)(?=(.{{{s}}}))"), 1))
-        part = pieces.select("_key", F.explode(cut).alias("gram")).join(looked_up.select("gram").distinct(), "gram", "left_semi").distinct()
-        offered = part if offered is None else offered.union(part)
-    if offered is None:
+    sizes = sorted(r["size"] for r in looked_up.select("size").distinct().collect())  # 1 to ``gram``
+    if not sizes:
         drop(looked_up)
         return texts.select("_key", F.lit("").alias("word")).where(F.lit(False))
-    pairs = offered.join(looked_up.select("gram", "word"), "gram").select("_key", "word").distinct()
+    offered = offers(texts, looked_up, sizes, bits)
+    # a word has one q-gram, so a text meets it once for each time that it offers that
+    pairs = offered.join(looked_up.select("gram", "word"), "gram").select("_key", "word")
     return pairs.join(texts, "_key").where(F.contains("_text", F.col("word"))).select("_key", "word")
+
+
+def hashes(letters: np.ndarray, size: int, bits: int) -> np.ndarray:
+    """A number below 2**bits for each run of ``size`` code points."""
+    n = len(letters) - size + 1
+    h = np.full(max(n, 0), size, np.uint64)
+    for k in range(size):
+        h = (h ^ letters[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return (h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4")
+
+
+def offers(texts: DataFrame, looked_up: DataFrame, sizes: list[int], bits: int) -> DataFrame:
+    """(_key, gram): the distinct q-grams of each text, or of each piece of a long one, that words are looked up by, and a few others."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = batch["gram"].to_pylist()
+            # a number is counted from 1 in the bitmap functions
+            yield pa.record_batch([pa.array([int(hashes(code_points(g), len(g), bits)[0]) + 1 for g in grams], pa.int64())], names=["place"])
+
+    place = F.col("place")
+    marked = looked_up.select("gram").mapInArrow(places, "place long").groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    table, width = np.zeros(1 << (bits - 3), np.uint8), 4096
+    for r in marked.collect():  # 2 MB at most
+        table[(r["k"] - 1) * width : r["k"] * width] = np.frombuffer(r["bits"], np.uint8)
+
+    def found(pieces: list[str]) -> list[set[str]]:
+        """The q-grams of each piece whose bits are set."""
+        ends = np.cumsum([len(p) for p in pieces])
+        letters, line, out = code_points("".join(pieces)), "".join(pieces), [set() for _ in pieces]
+        for size in sizes:
+            h = hashes(letters, size, bits)
+            at = np.flatnonzero(table[h >> np.uint64(3)] >> (h & np.uint64(7)).astype(np.uint8) & 1)
+            row = np.searchsorted(ends, at, "right")
+            within = at + size <= ends[row]
+            for r, a in zip(row[within].tolist(), at[within].tolist(), strict=True):
+                out[r].add(line[a : a + size])
+        return out
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        overlap = sizes[-1] - 1
+
+        def told(keys: pa.Array, rows: list[int], pieces: list[str]) -> pa.RecordBatch:
+            sets = found(pieces)
+            index = np.repeat(np.array(rows, np.int64), [len(s) for s in sets])
+            return pa.record_batch([keys.take(pa.array(index)), pa.array([g for s in sets for g in s], pa.string())], names=["_key", "gram"])
+
+        for batch in batches:
+            rows, pieces, held = [], [], 0
+            for i, body in enumerate(batch["_text"]):
+                text = body.as_py()
+                for start in range(0, len(text), PIECE):
+                    rows.append(i)
+                    pieces.append(text[start : start + PIECE + overlap])
+                    held += len(pieces[-1])
+                    if held >= PIECE:
+                        yield told(batch["_key"], rows, pieces)
+                        rows, pieces, held = [], [], 0
+            if pieces:
+                yield told(batch["_key"], rows, pieces)
+
+    return texts.mapInArrow(search, f"_key {texts.schema['_key'].dataType.simpleString()}, gram string")

@@ -178,41 +178,44 @@ SELECT vec_id, len(l)::BIGINT AS n_samples, list_sum(list_transform(l, lambda k:
 def wav_widths(spark, sf_dir):
     """Each vector as a WAV file of 8, 16, 24 or 32 bits, with a silent second channel or without, as decoded."""
 
-    def make(batches):
-        import struct
-
-        import numpy as np
-
-        for b in batches:
-            files = []
-            for k, x in zip(b["vec_id"].tolist(), b["embedding"], strict=True):
-                width, channels = k % 4 + 1, 1 if k % 8 < 4 else 2
-                whole = np.trunc(np.asarray(x, np.float64) * (2 ** (8 * width - 1) - 1)).astype(np.int64) + (128 if width == 1 else 0)
-                rows = np.column_stack([whole] + [np.full(len(whole), 128 if width == 1 else 0)] * (channels - 1)).reshape(-1)
-                body = b"".join(int(v).to_bytes(width, "little", signed=width > 1) for v in rows)
-                form = struct.pack("<4sIHHIIHH", b"fmt ", 16, 1, channels, au.RATE, au.RATE * width * channels, width * channels, 8 * width)
-                files.append(struct.pack("<4sI4s", b"RIFF", 36 + len(body), b"WAVE") + form + struct.pack("<4sI", b"data", len(body)) + body)
-            yield pd.DataFrame({"vec_id": b["vec_id"], "content": files})
-
     def add(batches):
         import numpy as np
 
         for b in batches:
-            samples = [np.frombuffer(x, "<i2").astype(np.int64) for x in b["pcm"]]
-            yield pd.DataFrame({"vec_id": b["vec_id"], "n_samples": [len(x) for x in samples], "total": [int(x.sum()) for x in samples]})
+            samples = (np.frombuffer(x, "<i2") for x in b["pcm"])
+            sums = [(len(x), int(x.sum(dtype=np.int64))) for x in samples]
+            yield pd.DataFrame({"vec_id": b["vec_id"], "n_samples": [n for n, _ in sums], "total": [t for _, t in sums]})
 
-    made = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(make, "vec_id long, content binary")
+    made = wide_files(table(spark, sf_dir, "embeddings"))
     return made.select("vec_id", au.decode_wav("content").alias("d")).select("vec_id", "d.pcm").mapInPandas(add, "vec_id long, n_samples long, total long")
 
 
-# -- clips that come whole
+def wide_files(vectors: DataFrame) -> DataFrame:
+    """(vec_id, content): the WAV files of wav_widths."""
+    width, channels = F.pmod("vec_id", F.lit(4)) + 1, F.when(F.pmod("vec_id", F.lit(8)) < 4, 1).otherwise(2)
+    full = F.pow(F.lit(2.0), 8 * width - 1) - 1
+
+    def sample(x: Column) -> Column:
+        whole = (x.cast("double") * full).cast("long")
+        # the lower bytes of four; single bytes are unsigned
+        held = little(F.pmod(whole + F.when(width == 1, 128).otherwise(0), F.lit(1 << 32))).substr(F.lit(1), (2 * width).cast("int"))
+        return F.when(F.abs(whole) > full, F.raise_error(F.lit("a component is over 1"))).otherwise(held)
+
+    silent = F.when(channels == 1, "").when(width == 1, "80").otherwise(F.repeat(F.lit("00"), width.cast("int")))
+    body = F.array_join(F.transform("embedding", lambda x: F.concat(sample(x), silent)), "")
+    size, short = F.length(body) / 2, lambda n: little(n).substr(1, 4)
+    head = F.concat(F.lit(b"WAVEfmt ".hex()), little(F.lit(16)), short(F.lit(1)), short(channels), little(F.lit(au.RATE)), little(au.RATE * width * channels), short(width * channels), short(8 * width), F.lit(b"data".hex()))
+    return vectors.select("vec_id", F.unhex(F.concat(F.lit(b"RIFF".hex()), little((36 + size).cast("long")), head, little(size.cast("long")), body)).alias("content"))
+
 
 def little(number: Column) -> Column:
     """Four bytes in hex, the low one first."""
-    digits = F.lpad(F.hex(number), 8, "0")
+    digits = F.lpad(F.hex(number.cast("long")), 8, "0")
     return F.concat(*[F.substring(digits, k, 2) for k in (7, 5, 3, 1)])
 
 
+# -- clips that come whole
+
 def silent_clips(spark: SparkSession, sf_dir: str, n: Column) -> DataFrame:
     """(event_id, content): a silent clip of ``n`` samples, or as many bytes that aren't one where ``n`` is negative."""
     empty, size = au.wav([]).hex(), 2 * n.cast("long")

@@ -37,13 +37,22 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.unhex(F.repeat(sample, n.cast("int"))).alias("payload"))
 
 
+def sums_of(pcm: bytes) -> tuple[int, int, int]:
+    x = np.frombuffer(pcm, "<i2").astype(np.int64)
+    return len(x), int(x.sum()), int(x @ np.arange(1, len(x) + 1))
+
+
+def with_sums_of(batch: pd.DataFrame) -> pd.DataFrame:
+    # one clip at a time: wide samples of a whole batch take many times its bytes
+    sums = [sums_of(p) for p in batch["pcm"]]
+    return batch.drop(columns="pcm").assign(n_samples=[n for n, _, _ in sums], total=[t for _, t, _ in sums], weighted=[w for _, _, w in sums])
+
+
 def with_sums(found: DataFrame) -> DataFrame:
     """``found`` with how many samples it has and sums that tell what they are and where, in place of ``pcm``."""
 
     def add(batches):
-        for b in batches:
-            x = [np.frombuffer(bytes(p), "<i2").astype(np.int64) for p in b["pcm"]]
-            yield b.drop(columns="pcm").assign(n_samples=[len(s) for s in x], total=[int(s.sum()) for s in x], weighted=[int((s * np.arange(1, len(s) + 1)).sum()) for s in x])
+        yield from map(with_sums_of, batches)
 
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema if f.name != "pcm")
     return found.mapInPandas(add, f"{kept}, n_samples long, total long, weighted long")

@@ -1,6 +1,7 @@
 """Upload chains over tables that grow with the clips, and the clips that queries make for them."""
 
 import base64
+import struct
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from sonoframe.functions import audio as au
 from sonoframe.operators import engine
 from sonoframe.params import Params
-from sonoframe.plans import live
+from sonoframe.plans import live, sound
 
 
 def made(spark, n, samples):
@@ -80,3 +81,35 @@ def test_enrollments_are_decoded_and_cut_in_one_step(spark):
     got = sources.enrollments(rows, Params().override({"enrollment_min_sec": 0.01, "enrollment_max_sec": 0.05}))
     assert got.select("seconds").first()[0] == 0.05
     assert plan(got).count("ArrowEvalPython") == 1
+
+
+def test_wide_files_are_made_without_python(spark):
+    vectors = spark.createDataFrame([(k, [-1.0, -0.3, 0.0, 0.25, 0.9999, 1.0]) for k in range(8)], "vec_id long, embedding array<float>")
+    got = live.wide_files(vectors)
+    assert "Python" not in plan(got) and "MapInPandas" not in plan(got)
+    for r in got.collect():
+        k, data = r["vec_id"], bytes(r["content"])
+        width, channels = k % 4 + 1, 1 if k < 4 else 2
+        full = 2 ** (8 * width - 1) - 1
+        want = [int(float(np.float32(x)) * full) + (128 if width == 1 else 0) for x in (-1.0, -0.3, 0.0, 0.25, 0.9999, 1.0)]
+        rest = [128 if width == 1 else 0] * (channels - 1)
+        body = b"".join(v.to_bytes(width, "little", signed=width > 1) for x in want for v in (x, *rest))
+        form = struct.pack("<4sIHHIIHH", b"fmt ", 16, 1, channels, au.RATE, au.RATE * width * channels, width * channels, 8 * width)
+        assert data == struct.pack("<4sI4s", b"RIFF", 36 + len(body), b"WAVE") + form + struct.pack("<4sI", b"data", len(body)) + body
+
+
+def test_sums_hold_one_clip_at_a_time(spark):
+    """Memory that sums of a batch of clips take beside the batch, in a task."""
+
+    def measured(batches):
+        import tracemalloc
+
+        for b in batches:
+            tracemalloc.start()
+            sound.with_sums_of(b)
+            peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            yield pd.DataFrame({"peak": [peak], "bytes": [int(b["pcm"].map(len).sum())]})
+
+    clips = spark.range(2000).repartition(1).select(F.expr("cast(repeat('ab', 2000) as binary)").alias("pcm"))
+    assert all(r["peak"] < r["bytes"] / 4 for r in clips.mapInPandas(measured, "peak long, bytes long").collect())

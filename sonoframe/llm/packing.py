@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sonoframe.llm import records
-from sonoframe.llm.common import WORD, written
+from sonoframe.llm.common import WORD, small_batches, vacate, written
 from sonoframe.llm.common import pieces as batched
 
 CAPACITIES = (512, 1024, 2048, 4096)
@@ -134,7 +134,8 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int | None, *, vocabulary:
 def cut(rows: DataFrame, largest: int, width: int) -> DataFrame:
     """(doc_id, copy, piece, start, n_tokens, ids): rows (doc_id, n, ids) cut at ``largest`` tokens. ``copy`` tells repeated ids apart."""
     # equal rows are told apart by a number within their task, which a rerun repeats because the rows are written first
-    rows = written(rows.where("n > 0").withColumn("copy", F.monotonically_increasing_id()), "lengths")
+    with small_batches(rows.sparkSession):
+        rows = written(rows.where("n > 0").withColumn("copy", F.monotonically_increasing_id()), "lengths")
     count = F.expr(f"int((n + {largest - 1}) div {largest})")
     start = F.col("piece").cast("long") * largest
     size = F.least(F.lit(largest), F.col("n") - start).cast("int")
@@ -162,6 +163,7 @@ def pack_documents(
     shards = max(1, math.ceil(every.count() / shard_pieces))
 
     def solve(group):
+        vacate()  # packing needs no tokenizer, nor what a group before left
         group = group.take(pa.array(np.lexsort((group.column("piece").to_numpy(), group.column("copy").to_numpy()))))
         where, offset, capacity, used = pack(group.column("n_tokens").to_pylist(), capacities, bin_cost)
         base = group.column("shard")[0].as_py() << 32

@@ -6,11 +6,13 @@ import struct
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sonoframe.functions.columns import binaries, doubles, strings
+
 RATE = 16_000
 #: Taps and shape of the low-pass before every third sample is taken. The default cutoff is that of the service whose
 #: numbers these must equal; 1/6 is the cutoff that keeps what lies over 8 kHz from folding down.
@@ -211,10 +213,14 @@ def rms(values: Column) -> Column:
 
 
 def decoder(cut: Callable[[bytes], bytes] | None = None):
-    """A UDF: 16-bit mono samples at 16 kHz of a WAV file, their duration, or why there are none. ``cut`` shortens the samples in the same pass; the duration is that of all."""
+    """A UDF: 16-bit mono samples at 16 kHz of a WAV file, their duration, or why there are none. ``cut`` shortens the samples in the same pass; the duration is that of all.
+
+    It takes one clip at a time out of Arrow's column, and loads no pandas: there are as many workers as cores, and most
+    of a worker's memory is what it has loaded.
+    """
 
-    @F.pandas_udf(DECODED)
-    def decode(content: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(DECODED)
+    def decode(content: pa.Array) -> pa.Array:
         def one(data: bytes | None) -> tuple:
             try:
                 x = read_wav(data or b"")
@@ -223,7 +229,8 @@ def decoder(cut: Callable[[bytes], bytes] | None = None):
             pcm = to_pcm16(x)
             return pcm if cut is None else cut(pcm), len(x) / RATE, None
 
-        return pd.DataFrame([one(x) for x in content], columns=["pcm", "seconds", "error"])
+        pcm, seconds, error = zip(*[one(x.as_py()) for x in content], strict=True) if len(content) else ((), (), ())
+        return pa.StructArray.from_arrays([binaries(pcm), doubles(seconds), strings(error)], ["pcm", "seconds", "error"])
 
     return decode
 
@@ -231,16 +238,16 @@ def decoder(cut: Callable[[bytes], bytes] | None = None):
 decode_wav = decoder()
 
 
-@F.pandas_udf(T.BinaryType())
-def encode_wav(pcm: pd.Series) -> pd.Series:
+@F.arrow_udf(T.BinaryType())
+def encode_wav(pcm: pa.Array) -> pa.Array:
     """A WAV file of 16-bit samples at 16 kHz, scaled as floats in -1..1 are."""
-    return pcm.map(lambda x: None if x is None else wav(pcm16(x)))
+    return binaries([wav(pcm16(x.as_py())) if x.is_valid else None for x in pcm])
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def frame_probs(pcm: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def frame_probs(pcm: pa.Array) -> pa.Array:
     """Speech probability of each 10 ms frame, from its energy."""
-    return pcm.map(lambda x: [] if x is None else energy_prob(frame_energy(pcm16(x), 160)).astype(float).tolist())
+    return pa.array([energy_prob(frame_energy(pcm16(x.as_py()), 160)).astype(float) if x.is_valid else [] for x in pcm], pa.list_(pa.float64()))
 
 
 def tail_cap_pcm(pcm: Column, seconds: float) -> Column:

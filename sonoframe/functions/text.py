@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sonoframe.functions.columns import doubles, strings
+
 #: Full-width punctuation and what stands for it, decoration, fillers, token ends, plain punctuation.
 WIDE, NARROW = "，。；：？！", ",.;:?!"
 DECORATION = r"[`~^*_=+|\\]+"
@@ -15,11 +17,11 @@ TOKEN_ENDS = r"(?U)[\s,.;:!?]+"
 ODD = r"""[^\p{L}\p{N} ,.;:!?'"\-/]"""
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(text: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def nfkc(text: pa.Array) -> pa.Array:
     from unicodedata import normalize as form
 
-    return text.map(lambda x: None if x is None else form("NFKC", x))
+    return strings([form("NFKC", x.as_py()) if x.is_valid else None for x in text])
 
 
 def in_nfkc(text: Column) -> Column:
@@ -27,12 +29,12 @@ def in_nfkc(text: Column) -> Column:
     return F.coalesce(nfkc(F.when(F.octet_length(text) != F.char_length(text), text)), text)
 
 
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+@F.arrow_udf(T.DoubleType())
+def sequence_ratio(a: pa.Array, b: pa.Array) -> pa.Array:
     """Twice the matched length over the whole length, by longest matching blocks; 0 if either side is empty."""
     from difflib import SequenceMatcher
 
-    return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])
+    return doubles([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)])
 
 
 def col(c: Column | str) -> Column:

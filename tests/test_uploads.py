@@ -115,8 +115,8 @@ def test_sums_hold_one_clip_at_a_time(spark):
     assert all(r["peak"] < r["bytes"] / 4 for r in clips.mapInPandas(measured, "peak long, bytes long").collect())
 
 
-def test_workers_that_decode_load_no_pandas(tmp_path):
-    """In a job of its own, as workers are used again: what a worker has loaded once it has decoded clips."""
+def test_workers_that_decode_and_normalize_load_no_pandas(tmp_path):
+    """In a job of its own, as workers are used again: what a worker has loaded once it has decoded clips and brought texts to NFKC."""
     import json
     import os
     import subprocess
@@ -126,10 +126,10 @@ def test_workers_that_decode_load_no_pandas(tmp_path):
     code = f"""
 import json, sys
 from pyspark.sql import SparkSession, functions as F
-from sonoframe.functions import audio as au
+from sonoframe.functions import audio as au, text
 spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.local.dir", {str(tmp_path)!r}).config("spark.sql.warehouse.dir", {str(tmp_path / "w")!r}).getOrCreate()
 clips = [(bytearray(au.wav([0.5] * 3)), "\uff21"), (bytearray(b"x"), "a"), (bytearray(au.wav([])), None), (None, "")]
-got = spark.createDataFrame(clips, "content binary, said string").coalesce(1).select(au.decode_wav("content").alias("d"), "said")
+got = spark.createDataFrame(clips, "content binary, said string").coalesce(1).select(au.decode_wav("content").alias("d"), text.nfkc("said").alias("said"))
 got = got.select("d.*", "said", au.encode_wav("d.pcm").alias("file")).collect()
 loaded = F.udf(lambda _: "pandas" in sys.modules, "boolean")
 hexed = lambda x: None if x is None else x.hex()
@@ -143,7 +143,7 @@ print(json.dumps({{"rows": rows, "pandas": [r[0] for r in spark.range(1).select(
     assert said["pandas"] == [False]
     heard = au.to_pcm16(au.read_wav(au.wav([0.5] * 3)))
     assert said["rows"] == [
-        [heard.hex(), 3 / 16000, None, "\uff21", au.wav(au.pcm16(heard)).hex()],
+        [heard.hex(), 3 / 16000, None, "A", au.wav(au.pcm16(heard)).hex()],
         [None, None, "decode_failed", "a", None],
         ["", 0.0, None, None, au.wav([]).hex()],
         [None, None, "decode_failed", "", None],

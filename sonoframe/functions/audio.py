@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sonoframe.functions.columns import binaries, doubles, strings
+from sonoframe.functions.columns import binaries, doubles, lists, strings
 
 RATE = 16_000
 #: Taps and shape of the low-pass before every third sample is taken. The default cutoff is that of the service whose
@@ -247,7 +247,7 @@ def encode_wav(pcm: pa.Array) -> pa.Array:
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
 def frame_probs(pcm: pa.Array) -> pa.Array:
     """Speech probability of each 10 ms frame, from its energy."""
-    return pa.array([energy_prob(frame_energy(pcm16(x.as_py()), 160)).astype(float) if x.is_valid else [] for x in pcm], pa.list_(pa.float64()))
+    return lists([energy_prob(frame_energy(pcm16(x.as_py()), 160)).astype(float) if x.is_valid else np.zeros(0) for x in pcm])
 
 
 def tail_cap_pcm(pcm: Column, seconds: float) -> Column:

@@ -23,6 +23,12 @@ def doubles(values: Sequence[float | None]) -> pa.Array:
     return pa.Array.from_buffers(pa.float64(), len(values), [present(values), pa.py_buffer(np.array([0.0 if x is None else x for x in values], np.float64))])
 
 
+def lists(values: Sequence[np.ndarray]) -> pa.Array:
+    """A list of doubles for each array."""
+    ends, body = np.cumsum([0, *map(len, values)]).astype(np.int32), np.concatenate([np.zeros(0), *values])
+    return pa.ListArray.from_arrays(pa.Array.from_buffers(pa.int32(), len(ends), [None, pa.py_buffer(ends)]), pa.Array.from_buffers(pa.float64(), len(body), [None, pa.py_buffer(body)]))
+
+
 def present(values: Sequence) -> pa.Buffer:
     """Which of the values are there, in bits."""
     return pa.py_buffer(np.packbits(np.array([x is not None for x in values], bool), bitorder="little"))

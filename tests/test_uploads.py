@@ -130,10 +130,12 @@ from sonoframe.functions import audio as au, text
 spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.local.dir", {str(tmp_path)!r}).config("spark.sql.warehouse.dir", {str(tmp_path / "w")!r}).getOrCreate()
 clips = [(bytearray(au.wav([0.5] * 3)), "\uff21"), (bytearray(b"x"), "a"), (bytearray(au.wav([])), None), (None, "")]
 got = spark.createDataFrame(clips, "content binary, said string").coalesce(1).select(au.decode_wav("content").alias("d"), text.nfkc("said").alias("said"))
-got = got.select("d.*", "said", au.encode_wav("d.pcm").alias("file")).collect()
+got = got.select("d.*", "said", au.encode_wav("d.pcm").alias("file"), au.frame_probs("d.pcm").alias("probs")).collect()
 loaded = F.udf(lambda _: "pandas" in sys.modules, "boolean")
 hexed = lambda x: None if x is None else x.hex()
 rows = [[hexed(r["pcm"]), r["seconds"], r["error"], r["said"], hexed(r["file"])] for r in got]
+assert [r["probs"] for r in got] == [[]] * 4
+assert [r["p"] for r in spark.createDataFrame([(bytearray(b"\\0\\x40" * 400),), (None,), (bytearray(160 * 2),)], "pcm binary").coalesce(1).select(au.frame_probs("pcm").alias("p")).collect()] == [[1.0, 1.0], [], [0.0]]
 print(json.dumps({{"rows": rows, "pandas": [r[0] for r in spark.range(1).select(loaded("id")).collect()]}}))
 """
     root = Path(__file__).resolve().parents[1]
